@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, line_quality, packing, secret_scan, simhash
+from tidemark.llm import chat, decontam, line_quality, lm_score, packing, pii, secret_scan, simhash, toxicity, warc
+from tidemark.sources.shared import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,39 @@ def span_text(spans: F.Column | str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op1_backoff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.score(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
+def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select(
+        "doc_id", *(count(k) for k in pii.KINDS),
+        F.sha2(span_text(pii.by_kind(F.col("base"))), 256).alias("base_sha256"),
+        span_text(pii.by_kind(F.concat("base", "added"))).alias("spans"),
+    )
+
+
+def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    made = chat.format_conversations(chat.as_messages(turns.unionByName(extra)))
+    back = made.select(
+        F.col("tree").alias("conv_id"), chat.read_back(F.col("formatted")).alias("turns"),
+        chat.loss_text(F.col("formatted"), "loss").alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_quality.verdicts(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -50,6 +84,28 @@ def op6_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    # Legacy input of both versions; the converter tells them apart by their version blocks.
+    odd = F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(2)) == 1
+    arcs = [warc.write_arc(pages.where(odd), 1), warc.write_arc(pages.where(~odd), 2)]
+    records = materialise(warc.read_warc(spark, warc.convert(spark, arcs)), "warc-records")
+    firsts = records.select(F.col("id").alias("refers_id"), F.col("key").alias("refers_to"))
+    return records.join(firsts, "refers_id", "left").select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op8_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic")
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.array_join(F.transform("sentences", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("worst"),
+    )
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,7 +116,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_line_quality, op5_secret_scan, op6_nnls_packing, op9_simhash_groups, op10_decontamination)
-}
+    f.__name__: f
+    for f in (
+        op1_backoff_score, op2_contextual_pii, op3_reply_trees, op4_line_quality, op5_secret_scan,
+        op6_nnls_packing, op7_arc_to_warc, op8_toxic_sentences, op9_simhash_groups, op10_decontamination,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
