@@ -123,4 +123,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of a text: A-Z lowered or not, cut at ASCII white space, no empty ones.
+def _words_sql(text: str) -> str:
+    return rf"list_filter(string_split_regex(coalesce({text}, ''), '[ \x09-\x0D]+'), lambda x: x <> '')"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_backoff_score": f"""
+        WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words_sql(_LOWER)} AS ws FROM documents),
+        uni AS MATERIALIZED (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
+        big AS MATERIALIZED (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS p FROM uni),
+        c1 AS MATERIALIZED (SELECT w, count(*) AS n FROM uni GROUP BY w),
+        c2 AS MATERIALIZED (SELECT p, w, count(*) AS n FROM big WHERE p IS NOT NULL GROUP BY p, w),
+        total AS (SELECT count(*) AS n FROM uni),
+        scored AS (SELECT big.r, CASE WHEN big.p IS NULL THEN ln(c1.n / total.n)
+                         WHEN c2.n >= 2 THEN ln(c2.n / c0.n) ELSE ln(0.4) + ln(c1.n / total.n) END AS s
+                   FROM big CROSS JOIN total JOIN c1 ON c1.w = big.w
+                   LEFT JOIN c2 ON c2.p = big.p AND c2.w = big.w LEFT JOIN c1 c0 ON c0.w = big.p)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(sum(s), 0), 4) AS log_score
+        FROM docs LEFT JOIN scored USING (r) GROUP BY r, doc_id, ws""",
+    "op3_reply_trees": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, regexp_replace(regexp_replace(text, '(<)(\\*)(\|im_(?:start|end)\|>|/?s>)', '\1\\\2\3', 'g'),
+                                       '(\[)(\\*)(/?INST\])', '\1\\\2\3', 'g') AS body FROM t)
+        SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(role) + length(body) + 24) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op4_line_quality": f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce('h:' || source, '-') AS host, coalesce(text, '') AS text,
+                   {_words_sql("text")} AS ws, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        f AS MATERIALIZED (SELECT r, doc_id, host, text, ws, list_filter(ls, lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS ls,
+                   list_transform(range(1, len(ws) - 3), lambda i: list_aggregate(ws[i:i+4], 'string_agg', ' ')) AS wins FROM d),
+        win AS MATERIALIZED (SELECT r, unnest(wins) AS w, generate_subscripts(wins, 1) AS i FROM f),
+        dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM win) WHERE n > 1),
+        cov AS (SELECT r, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM dup) GROUP BY r),
+        sk AS (SELECT r, min(md5(w)) AS s FROM win GROUP BY r),
+        ln AS MATERIALIZED (SELECT r, host, trim(regexp_replace(lower(l), '[ \\x09-\\x0D]+', ' ', 'g')) AS l FROM (SELECT r, host, unnest(ls) AS l FROM f)),
+        per AS (SELECT host, l, s, count(DISTINCT r) AS n FROM ln LEFT JOIN sk USING (r) GROUP BY host, l, s),
+        freq AS (SELECT host, l FROM per GROUP BY host, l HAVING sum(n) > 20 AND 2 * max(n) < sum(n)),
+        gone AS (SELECT r, sum(len(string_split(l, ' '))) AS n, count(DISTINCT l) AS k FROM ln JOIN freq USING (host, l) GROUP BY r),
+        base AS (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT) AS word_chars,
+                   CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines FROM f)
+        SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+               (n_words < 10 OR 100 * coalesce(cov.n, 0) > 20 * n_words) AS base_failed,
+               NOT (n_words < 10 OR 100 * coalesce(cov.n, 0) > 20 * n_words) AND n_words - coalesce(gone.n, 0) >= 10
+                   AND n_words - coalesce(gone.n, 0) >= 0.3 * n_words AS kept,
+               CAST(n_words - coalesce(gone.n, 0) AS BIGINT) AS words_left, CAST(coalesce(gone.k, 0) AS BIGINT) AS lines_removed
+        FROM base LEFT JOIN cov USING (r) LEFT JOIN gone USING (r)""",
+    "op7_arc_to_warc": """
+        WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, encode(coalesce(html, '')) AS b FROM pages),
+        h AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS d FROM p),
+        k AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS f FROM h)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to
+        FROM k""",
+}
