@@ -5,7 +5,8 @@ noisy-or, 1 - prod(1 - p). Only documents carry labels; the likelihood of the no
 Adagrad, so the gradient itself decides which sentences of a toxic document are to blame, and the
 trained sentence scores locate them.
 
-Training uses a bounded sample (`max_train_docs`, by hash of the id) of the labelled rows; words go through
+Words enter the model only if their document share differs between the classes by `min_z` standard
+errors; without this the long tail of rare words fits the noise. Training uses a bounded sample (`max_train_docs`, by hash of the id) of the labelled rows; words go through
 a fixed-size hash space, so the model has one size at any scale. Scoring is map-only over all rows.
 
 Defined results: null text is empty; a text without words is one empty sentence and gets the bias's score;
@@ -60,7 +61,7 @@ def _sentence_logits(sentences: list[tuple[int, int, list[int]]], model: Model)
     return model.bias + np.bincount(owner, model.weights[ids], minlength=len(sentences))
 
 
-def train(labelled: DataFrame, max_train_docs: int = 12_000, rounds: int = 150, rate: float = 0.3, l2: float = 1e-3, min_docs: int = 3) -> Model:
+def train(labelled: DataFrame, max_train_docs: int = 12_000, rounds: int = 150, rate: float = 0.3, l2: float = 0.01, min_docs: int = 3, min_z: float = 5.0) -> Model:
     """Fit on (doc_id, text, toxic). The sample is the rows whose id hash is below max_train_docs / rows."""
     rows = labelled.where("toxic IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     n = rows.count()
@@ -83,8 +84,8 @@ def train(labelled: DataFrame, max_train_docs: int = 12_000, rounds: int = 150,
     sizes = np.concatenate(per_doc)
     doc_of = np.repeat(np.arange(len(got)), [len(s) for s in per_doc])
     sent_of = np.repeat(np.arange(len(sizes)), sizes)
-    seen = np.unique(doc_of[sent_of].astype(np.int64) << BITS | ids) & ((1 << BITS) - 1)
-    known = np.bincount(seen, minlength=1 << BITS) >= min_docs
+    seen = np.unique(doc_of[sent_of].astype(np.int64) << BITS | ids)
+    known = _telling(seen & ((1 << BITS) - 1), y[seen >> BITS] > 0.5, y, min_docs, min_z)
     sent_of, ids = sent_of[known[ids]], ids[known[ids]]
 
     w, bias = np.zeros(1 << BITS), -4.0
@@ -103,6 +104,15 @@ def train(labelled: DataFrame, max_train_docs: int = 12_000, rounds: int = 150,
     return Model(w.astype(np.float32), float(bias))
 
 
+def _telling(words: np.ndarray, toxic: np.ndarray, y: np.ndarray, min_docs: int, min_z: float) -> np.ndarray:
+    """Which hashed words differ in document share between the classes by `min_z` standard errors; `words` once a document."""
+    ones, alls = (np.bincount(w, minlength=1 << BITS).astype(np.float64) for w in (words[toxic], words))
+    pos, neg = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
+    rate = alls / len(y)
+    error = np.sqrt(np.maximum(rate * (1 - rate) * (1 / pos + 1 / neg), 1e-12))
+    return (alls >= min_docs) & (np.abs(ones / pos - (alls - ones) / neg) >= min_z * error)
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", worst: int = 3) -> DataFrame:
     """`docs` with `score` and `sentences`: the `worst` offending sentences (start, end, p)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one fixed-size vector
