@@ -1,0 +1,105 @@
+"""A small element tree over the standard tokenizer, for use inside tasks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that an opening tag of the same kind ends, and what bounds the search for it.
+_SELF_CLOSING = {"p": ("div", "blockquote", "li", "td"), "li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "option": ("select",)}
+
+
+class Node:
+    __slots__ = ("attrs", "kids", "tag")
+
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None) -> None:
+        self.tag, self.attrs, self.kids = tag, attrs or {}, []
+
+    def walk(self) -> Iterator[Node]:
+        """Elements below this one in document order; no recursion, whatever the depth."""
+        todo = [k for k in reversed(self.kids) if isinstance(k, Node)]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo += [k for k in reversed(n.kids) if isinstance(k, Node)]
+
+    def has_class(self, name: str) -> bool:
+        return name in self.attrs.get("class", "").split()
+
+    def find(self, tag: str, css: str | None = None, **attrs: str) -> Node | None:
+        return next(self.find_all(tag, css, **attrs), None)
+
+    def find_all(self, tag: str, css: str | None = None, **attrs: str) -> Iterator[Node]:
+        return (n for n in self.walk() if n.tag == tag and (css is None or n.has_class(css)) and all(n.attrs.get(k) == v for k, v in attrs.items()))
+
+    def texts(self, skip: frozenset[str] = frozenset()) -> Iterator[str]:
+        todo = list(reversed(self.kids))
+        while todo:
+            k = todo.pop()
+            if isinstance(k, str):
+                yield k
+            elif k.tag not in skip:
+                todo += reversed(k.kids)
+
+    def text(self, sep: str = "", strip: bool = True) -> str:
+        return sep.join(t.strip() if strip else t for t in self.texts() if not strip or t.strip())
+
+
+class _Builder(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = Node("#root")
+        self.open = [self.root]
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in _SELF_CLOSING:
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag == tag:
+                    del self.open[i:]
+                    break
+                if self.open[i].tag in _SELF_CLOSING[tag]:
+                    break
+        node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
+        self.open[-1].kids.append(node)
+        if tag not in VOID:
+            self.open.append(node)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                del self.open[i:]
+                return
+
+    def handle_data(self, data: str) -> None:
+        self.open[-1].kids.append(data)
+
+
+def parse(html: str | None) -> Node:
+    b = _Builder()
+    b.feed(html or "")
+    b.close()
+    return b.root
+
+
+def outer(node: Node) -> str:
+    """The element's markup again, attribute values quoted."""
+    from html import escape
+
+    out: list[str] = []
+    todo: list = [node]
+    while todo:
+        k = todo.pop()
+        if isinstance(k, str):
+            out.append(escape(k, quote=False))
+        elif isinstance(k, tuple):
+            out.append(k[0])
+        else:
+            out.append(f"<{k.tag}{''.join(f' {a}="{escape(v)}"' for a, v in k.attrs.items())}>")
+            if k.tag not in VOID:
+                todo.append((f"</{k.tag}>",))
+                todo += reversed(k.kids)
+    return "".join(out)
