@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)"
 
@@ -35,15 +36,15 @@ def _v4_number(host: Column) -> Column:
     return part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4)
 
 
-def _v4_public(host: Column) -> Column:
-    n = _v4_number(host)
+def _v4_private(number: Column) -> Column:
+    blocks = [ipaddress.ip_network(b) for b in NON_PUBLIC_V4]
     private = F.lit(False)
-    for block in map(ipaddress.ip_network, NON_PUBLIC_V4):
-        private = private | n.between(int(block[0]), int(block[-1]))
-    return ~private | host.isin(*PUBLIC_V4)
+    for block in blocks:
+        private = private | number.between(int(block[0]), int(block[-1]))
+    return private & ~number.isin(*(int(ipaddress.ip_address(a)) for a in PUBLIC_V4))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _v6_public(host: pd.Series) -> pd.Series:
     def one(h: str | None) -> bool:
         try:
@@ -62,16 +63,19 @@ def classify_url_table(rows: DataFrame, url_col: str = "source_url", out: str =
     digits and dots that are no canonical IPv4 address. Only bracketed literals reach Python.
     """
     url = normalise_url(F.col(url_col))
-    web = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin("http", "https")
-    host = F.coalesce(url_host(url), F.lit(""))
+    web = F.coalesce(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin("http", "https"), F.lit(False))
     octet = r"(?:0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-    canonical = host.rlike(rf"^{octet}(?:\.{octet}){{3}}$")
+    literal = F.coalesce(F.contains(F.regexp_extract(url, _AUTHORITY, 1), F.lit("[")), F.lit(False))
+    # Step by step, so that each part is evaluated once.
+    names = rows.where(~literal).withColumn("__web", web).withColumn("__host", F.coalesce(url_host(url), F.lit("")))
+    host = F.col("__host")
+    numbers = names.withColumn("__ip", F.when(host.rlike(rf"^{octet}(?:\.{octet}){{3}}$"), _v4_number(host)))
     digits = host.rlike(r"^[0-9.]*[0-9][0-9.]*$")
-    plain = F.when(~web | (host == ""), "blocked").when(canonical & ~_v4_public(host), "blocked").when(digits & ~canonical, "blocked").otherwise("ok")
+    bad = ~F.col("__web") | (host == "") | (digits & F.col("__ip").isNull()) | F.coalesce(_v4_private(F.col("__ip")), F.lit(False))
+    plain = numbers.withColumn(out, F.when(bad, "blocked").otherwise("ok")).drop("__web", "__host", "__ip")
     bracket = F.regexp_extract(url, r"^[^:/?#]+://(?:[^/?#@]*@)?\[([^\]/?#]*)\](?::[0-9]*)?(?:[/?#]|$)", 1)
-    literal = F.coalesce(F.contains(F.regexp_extract(url, _AUTHORITY, 1), F.lit("[")), F.lit(False))
-    ok6 = web & _v6_public(bracket)
-    return rows.where(~literal).withColumn(out, plain).unionByName(rows.where(literal).withColumn(out, F.when(ok6, "ok").otherwise("blocked")))
+    bracketed = rows.where(literal).withColumn(out, F.when(web & _v6_public(bracket), "ok").otherwise("blocked"))
+    return plain.unionByName(bracketed)
 
 
 #: The private names and prefixes of the launch audit.

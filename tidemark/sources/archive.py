@@ -76,35 +76,38 @@ class Snapshots:
     """Versions of one table in a folder: `v=<n>` directories and a pointer that is written last.
 
     A version is complete once the pointer table names it; a failed write leaves an unnamed folder
-    behind, and a repeated batch id is skipped.
+    behind, and a batch id that its writer has published before is skipped.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self):
+    def _pointer(self) -> tuple[int, str | None, dict[str, int]]:
+        """(version, folder, last batch id of each writer)."""
         found = read_table(self.spark, f"{self.path}/pointer")
         if found is None:
-            return None
-        return found.groupBy().agg(F.max(F.struct("version", "folder", "batch_id")).alias("p")).select("p.*").first()
+            return 0, None, {}
+        now = found.agg(F.max(F.struct("version", "folder")).alias("p")).first()["p"]
+        done = found.groupBy("writer").agg(F.max("batch_id").alias("b")).collect()  # one row per job that writes here
+        return now["version"], now["folder"], {r["writer"]: r["b"] for r in done}
 
     def read(self) -> DataFrame | None:
-        p = self._pointer()
-        return self.spark.read.parquet(f"{self.path}/{p['folder']}") if p and p["folder"] else None
+        folder = self._pointer()[1]
+        return self.spark.read.parquet(f"{self.path}/{folder}") if folder else None
 
-    def save(self, snapshot: DataFrame, batch_id: int = -1) -> bool:
-        p = self._pointer()
-        if p and batch_id >= 0 and p["batch_id"] is not None and p["batch_id"] >= batch_id:
+    def save(self, snapshot: DataFrame, batch_id: int = -1, writer: str = "") -> bool:
+        version, _, done = self._pointer()
+        if 0 <= batch_id <= done.get(writer, -1):
             return False
-        version = (p["version"] if p else 0) + 1
-        folder = f"v={version}-{uuid.uuid4().hex[:8]}"
+        folder = f"v={version + 1}-{uuid.uuid4().hex[:8]}"
         snapshot.write.parquet(f"{self.path}/{folder}")
-        last = max(batch_id, p["batch_id"] if p else -1)
-        row = self.spark.range(1).select(F.lit(version).alias("version"), F.lit(folder).alias("folder"), F.lit(last).cast("bigint").alias("batch_id"))
+        row = self.spark.range(1).select(
+            F.lit(version + 1).alias("version"), F.lit(folder).alias("folder"), F.lit(writer).alias("writer"), F.lit(batch_id).cast("bigint").alias("batch_id")
+        )
         row.write.mode("append").parquet(f"{self.path}/pointer")
         return True
 
 
-def sink_snapshot(spark: SparkSession, path: str, snapshot: DataFrame, batch_id: int = -1) -> bool:
+def sink_snapshot(spark: SparkSession, path: str, snapshot: DataFrame, batch_id: int = -1, writer: str = "") -> bool:
     """Publish a snapshot; repeating a batch replaces nothing and duplicates nothing."""
-    return Snapshots(spark, path).save(snapshot, batch_id)
+    return Snapshots(spark, path).save(snapshot, batch_id, writer)

@@ -81,16 +81,16 @@ def stream_ingest(pages: DataFrame, root: str, checkpoint: str, profile: Profile
             img0 = old["images"] if old["images"] is not None else images.limit(0)
             vec0 = old["vectors"] if old["vectors"] is not None else spark.createDataFrame([], "article_id bigint, embedding array<float>, model string, updated_at timestamp")
             art1 = merge.merge_articles(art0, fresh)
-            tables["vectors"].save(merge.queue_vectors(merge.invalidate_vectors(vec0, art0, fresh), art1), batch_id)
-            tables["images"].save(merge.merge_images(img0, images), batch_id)
+            tables["vectors"].save(merge.queue_vectors(merge.invalidate_vectors(vec0, art0, fresh), art1), batch_id, "ingest")
+            tables["images"].save(merge.merge_images(img0, images), batch_id, "ingest")
             led0 = old["ledger"]
             counted = log.withColumn("attempts", F.lit(1))
             if led0 is not None:
                 before = led0.select("article_id", F.col("attempts").alias("__a"))
                 counted = log.join(before, "article_id", "left").select("article_id", "status", "last_error", (F.coalesce("__a", F.lit(0)) + 1).alias("attempts"))
                 counted = led0.join(log.select("article_id"), "article_id", "left_anti").unionByName(counted)
-            tables["ledger"].save(counted, batch_id)
-            tables["articles"].save(art1, batch_id)  # last: the vectors' comparison needs the old bodies if the batch runs again
+            tables["ledger"].save(counted, batch_id, "ingest")
+            tables["articles"].save(art1, batch_id, "ingest")  # last: the vectors' comparison needs the old bodies if the batch runs again
         finally:
             parsed.unpersist()
 
@@ -114,7 +114,7 @@ def stream_embed(
         queue = vectors.read()
         made = embed_job(claim_embeddings(queue, articles(), limit), make_encoder).withColumn("model", F.lit(model))
         good, _ = valid_vectors(made, model, dims)
-        vectors.save(merge.save_vectors(queue, good, model, as_of), batch_id)
+        vectors.save(merge.save_vectors(queue, good, model, as_of), batch_id, "embed")
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
