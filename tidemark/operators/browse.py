@@ -82,7 +82,7 @@ def browse_page(
     return kept.withColumn("place", F.col("place").cast("int")).orderBy("place")
 
 
-def author_prefix(articles: DataFrame, prefix: str) -> DataFrame:
+def author_prefix_range(articles: DataFrame, prefix: str) -> DataFrame:
     """Rows whose lower-cased author starts with `prefix`; % and _ are ordinary characters.
 
     Prefixes that no stored name can have (empty, ending in the last code point, lone surrogates) match nothing.
@@ -96,7 +96,7 @@ def author_prefix(articles: DataFrame, prefix: str) -> DataFrame:
 
 def suggest_authors(articles: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
     """The latest spelling of each name under the prefix, first `limit` by name."""
-    found = author_prefix(visible_only(articles), prefix)
+    found = author_prefix_range(visible_only(articles), prefix)
     latest = F.max_by("author_name", F.struct("published_at", "id"))
     return found.groupBy("author_lc").agg(latest.alias("author_name")).orderBy("author_lc").limit(limit)
 

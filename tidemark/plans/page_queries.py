@@ -9,6 +9,9 @@ from tidemark.functions import blobs
 from tidemark.operators import audit, documents, extract, render
 from tidemark.plans import standins as S
 from tidemark.plans.registry import query
+from tidemark.sources.archive import Snapshots, sink_blob_store
+from tidemark.sources.shared import fresh_path
+from tidemark.streaming import jobs
 
 
 @query(r"""SELECT page_id, nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title, nullif(regexp_extract(html, '<html[^>]* lang="([a-z-]+)"', 1), '') AS lang,
@@ -23,7 +26,7 @@ def page_fields(spark: SparkSession, sf: str) -> DataFrame:
     l AS (SELECT page_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), chr(10)) AS t FROM b)
     SELECT page_id, md5(trim(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g'))) AS body FROM l""")
 def page_body_text(spark: SparkSession, sf: str) -> DataFrame:
-    return S.table(spark, sf, "pages").select("page_id", F.md5(extract.body_text(F.col("html"))).alias("body"))
+    return S.table(spark, sf, "pages").select("page_id", F.md5(extract.extract_body_text(F.col("html"))).alias("body"))
 
 
 @query(r"""SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY 1""")
@@ -133,3 +136,26 @@ def render_pages(spark: SparkSession, sf: str) -> DataFrame:
     pages = S.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("body_raw"))
     states = documents.image_map(S.images(spark, sf), S.blobs(spark, sf), S.orders_only(spark, sf))
     return render.render_markup_job(pages, states).select("id", F.col("rendered").isNotNull().alias("fits"), F.length("rendered.html").alias("chars"))
+
+
+@query("SELECT DISTINCT sha256(text) AS sha256, substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3, 2) AS shard FROM documents")
+def blob_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text stored by its digest, half of them in a first go; what the second go finds stored it does not write."""
+    rows = S.table(spark, sf, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    path = fresh_path(spark, "blob-store")
+    early = sink_blob_store(rows.where("doc_id % 2 = 0").drop("doc_id"), path)
+    late = sink_blob_store(rows.drop("doc_id"), path)
+    return early.select("sha256", "shard").unionByName(late.select("sha256", "shard"))
+
+
+@query("SELECT page_id AS article_id, 'ok' AS status, 1 AS attempts, CAST(len(regexp_extract_all(html, '<img')) AS INT) AS images FROM pages")
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """All landed pages through the ingest job; the ledger that it leaves, and the image slots of each article."""
+    path = f"{sf}/pages.parquet"
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/pages.parque[t]")
+    landed = raw.select("page_id", "url", F.lit(200).alias("http_status"), "html")
+    root = fresh_path(spark, "ingest")
+    jobs.stream_ingest(landed, root, f"{root}-state", extract.PLAIN, "<article>").awaitTermination()
+    slots = Snapshots(spark, f"{root}/images").read().groupBy("article_id").agg(F.count(F.lit(1)).cast("int").alias("images"))
+    log = Snapshots(spark, f"{root}/ledger").read().join(slots, "article_id", "left")
+    return log.select("article_id", "status", "attempts", F.coalesce("images", F.lit(0)).alias("images"))

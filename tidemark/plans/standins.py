@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.extract import image_refs
+from tidemark.operators.extract import extract_image_refs
 from tidemark.sources.archive import utc
 
 
@@ -48,7 +48,7 @@ def images(spark: SparkSession, sf: str) -> DataFrame:
         p.alias("article_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), p % 5)).alias("position"),
         F.regexp_extract("url", r"^[a-z]+://[^/?#]+", 0).alias("root"),
     ).select("article_id", "position", F.concat("root", F.lit("/img/"), F.col("position").cast("string"), F.lit(".png")).alias("source_url"))
-    links = image_refs(pages, attribute="href", tag="a").select("article_id", (F.col("position") + F.col("article_id") % 5 + 1).alias("position"), "source_url")
+    links = extract_image_refs(pages, attribute="href", tag="a").select("article_id", (F.col("position") + F.col("article_id") % 5 + 1).alias("position"), "source_url")
     a, n = F.col("article_id"), F.col("position")
     kind = (7 * a + n) % 4
     status = F.element_at(F.array(*(F.lit(s) for s in STATUS)), (kind + 1).cast("int"))

@@ -62,7 +62,10 @@ def sink_blob_store(blobs: DataFrame, path: str, content: str = "content") -> Da
     if stored is not None:
         fresh = fresh.join(stored.select("sha256"), "sha256", "left_anti")
     batch = uuid.uuid4().hex
-    fresh.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("prefix").parquet(path)
+    # A task writes one stretch of the digests, so it opens few of the 256 folders.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.floor(F.conv(F.substring("sha256", 1, 6), 16, 10).cast("bigint") * n / (1 << 24))
+    fresh.withColumn("batch", F.lit(batch)).repartition(n, stretch).write.mode("append").partitionBy("prefix").parquet(path)
     return spark.read.parquet(path).where(F.col("batch") == batch)
 
 
