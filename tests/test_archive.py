@@ -313,3 +313,13 @@ def test_stores(spark, tmp_path):
     feed = "<rss><link>http://x/en/article/channel-9</link><item><link>http://x/en/article/slug-2797019/1/20</link></item><item><link>http://x/en/article/2797018 </link></item></rss>"
     got = archive.src_feed(spark.createDataFrame([(1, feed)], "page int, xml string")).collect()
     assert [(r.pos, r.article_id) for r in got] == [(0, 2797019), (1, 2797018)]
+
+
+def test_appended_columns_replace_their_namesakes(spark):
+    from pyspark.sql import types as T
+
+    from tidemark.sources.arrow import append_columns
+
+    df = spark.createDataFrame([("a", 1, 5.0), (None, 2, 6.0)], "t string, n int, `odd.name` double")
+    out = append_columns(df, ["t"], [T.StructField("n", T.LongType())], lambda ts: [[len(t or "") for t in ts]])
+    assert out.columns == ["t", "odd.name", "n"] and sorted(map(tuple, out.select("n").collect())) == [(0,), (1,)]

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -20,20 +21,22 @@ def append_columns(
 
     `fn` gets one Python list per input column and returns one list per field.
     Narrow: no shuffle, row order and the other columns untouched. A field named like an
-    existing column is refused, so nothing is replaced by accident.
+    existing column takes its place, at the end.
     """
-    clash = {f.name for f in fields} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    names = [f.name for f in fields]
+    inner = [f"__new{i}" for i in range(len(fields))]
     positions = [df.columns.index(c) for c in inputs]
     arrow_types = [to_arrow_type(f.dataType) for f in fields]
-    names = [*df.columns, *(f.name for f in fields)]
+    columns = [*df.columns, *inner]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = fn(*(batch.column(p).to_pylist() for p in positions))
             arrays = [pa.array(m, type=t) for m, t in zip(made, arrow_types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=columns)
 
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema.fields), *fields])
-    return df.mapInArrow(run, schema)
+    added = [T.StructField(i, f.dataType) for i, f in zip(inner, fields, strict=True)]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema.fields), *added])
+    out = df.mapInArrow(run, schema)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return out.select(*kept, *(F.col(i).alias(n) for i, n in zip(inner, names, strict=True)))
