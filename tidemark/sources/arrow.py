@@ -24,10 +24,10 @@ def append_columns(
     existing column takes its place, at the end.
     """
     names = [f.name for f in fields]
-    inner = [f"__new{i}" for i in range(len(fields))]
     positions = [df.columns.index(c) for c in inputs]
     arrow_types = [to_arrow_type(f.dataType) for f in fields]
-    columns = [*df.columns, *inner]
+    # By place while in Python: any name will do, dots and doubles included.
+    columns = [f"c{i}" for i in range(len(df.columns) + len(fields))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,8 +35,7 @@ def append_columns(
             arrays = [pa.array(m, type=t) for m, t in zip(made, arrow_types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=columns)
 
-    added = [T.StructField(i, f.dataType) for i, f in zip(inner, fields, strict=True)]
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema.fields), *added])
-    out = df.mapInArrow(run, schema)
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
-    return out.select(*kept, *(F.col(i).alias(n) for i, n in zip(inner, names, strict=True)))
+    types = [f.dataType for f in (*df.schema.fields, *fields)]
+    out = df.toDF(*columns[: len(df.columns)]).mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in zip(columns, types, strict=True)]))
+    kept = [F.col(c).alias(n) for c, n in zip(columns, df.columns, strict=False) if n not in names]
+    return out.select(*kept, *(F.col(c).alias(n) for c, n in zip(columns[len(df.columns) :], names, strict=True)))
