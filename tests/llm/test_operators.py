@@ -365,7 +365,7 @@ def test_toxicity_finds_the_sentence(spark, empty):
             sents[int(rng.integers(5))] += " awfulword"
         rows.append((i, ". ".join(sents) + ".", toxic))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.train(df.where("doc_id < 400"))
+    model = toxicity.train(df.select("doc_id", "text"), df.where("doc_id < 400").select("doc_id", "toxic"))
     for r in toxicity.score(df.where("doc_id >= 400"), model).collect():
         assert (r.score >= 0.5) == bool(r.toxic)
         if r.toxic:
@@ -380,3 +380,22 @@ def test_toxicity_held_out(spark, sf):
     out = queries.op8_toxic_sentences(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     pos, neg = [r.score for r in out if r.toxic], [r.score for r in out if not r.toxic]
     assert np.mean([p > n for p in pos for n in neg]) > 0.9
+
+
+def test_extra_columns_with_clashing_names(spark, docs):
+    """Columns that operators make themselves, or use inside, may be there already."""
+    names = ["secrets", "hits", "score", "sentences", "base", "occ", "row", "fp", "component_id", "words", "lines", "kept", "removed", "host", "id", "key", "block", "k", "n", "length", "start", "sequence_id", "odd.name"]
+    wide = docs.select("*", *(F.lit("x").alias(n) for n in names))
+    n = docs.count()
+    assert line_quality.verdicts(wide).count() == simhash.near_duplicates(wide).count() == lm_score.score(wide).count() == pii.find(wide).count() == n
+    assert packing.pack_documents(wide, queries.tokenizer_path()).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    for kept in (line_quality.apply(wide), simhash.keep_one(wide), secret_scan.redact(wide), decontam.drop_contaminated(wide, spark.createDataFrame(BENCH, "item_id long, text string"))):
+        assert kept.columns == wide.columns and kept.count() > 0
+    made = decontam.annotate(secret_scan.scan(wide), spark.createDataFrame(BENCH, "item_id long, text string"))
+    assert set(made.columns) == set(wide.columns) and made.schema["hits"].dataType.typeName() == "array"
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), -3.0)
+    assert toxicity.score(wide, model).select("score").first()[0] < 0.5
+    turns = spark.createDataFrame([(1, 0, "user", "a", "x", "y")], "conv_id long, turn long, role string, text string, up string, t string")
+    assert chat.format_conversations(chat.as_messages(turns)).count() == 1
+    pages = spark.createDataFrame([(1, "http://a", "b", "x", "y")], "page_id long, url string, html string, member string, k string")
+    assert warc.read_warc(spark, warc.convert(spark, [warc.write_arc(pages, 1)])).count() == 1

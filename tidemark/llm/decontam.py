@@ -163,7 +163,7 @@ def annotate(
         shared = docs.sparkSession.sparkContext.broadcast((block, rare_seeds(block, counts), min_score))
         names.append(f"__hits{b}")
         docs = append_columns(docs, [text_col], [T.StructField(names[-1], HITS)], _block_fn(shared))
-    kept = [c for c in docs.columns if c not in names]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*names, out)]
     return docs.select(*kept, F.array_sort(F.concat(*names)).alias(out))
 
 
@@ -186,5 +186,4 @@ def contaminated(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
     """`docs` without those that hold a benchmark item; narrow, clean rows untouched."""
-    names = docs.columns
-    return annotate(docs, items, out="__hits", **limits).where(F.size("__hits") == 0).select(*names)
+    return annotate(docs, items, out="__hits", **limits).where(F.size("__hits") == 0).drop("__hits")

@@ -172,4 +172,4 @@ def apply(docs: DataFrame, host_col: str = "source", text_col: str = "text", **l
     kept = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"])).withColumn(text_col, clean)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept.drop("__id", "__removed")

@@ -99,7 +99,7 @@ def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic")
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.array_join(F.transform("sentences", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("worst"),

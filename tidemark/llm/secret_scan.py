@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.sources.arrow import append_columns
@@ -199,9 +200,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
         [T.StructField("__clean", T.StringType())],
         lambda texts: [[t if not f else mask(t, f) for t, f in zip(texts, scan_shard(texts, rules), strict=True)]],
     )
-    from pyspark.sql import functions as F
-
     new = {text_col: F.col("__clean")}
     if "n_chars" in names:
         new["n_chars"] = F.length("__clean").cast(docs.schema["n_chars"].dataType)
-    return made.select(*(new[c].alias(c) if c in new else F.col(c) for c in names))
+    return made.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names))

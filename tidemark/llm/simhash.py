@@ -215,5 +215,5 @@ def keep_one(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     named = docs.where(F.col("doc_id").isNotNull())
     found = near_duplicates(docs, text_col, **limits)
     stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(stays, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = named.join(stays, "doc_id").dropDuplicates(["doc_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
     return kept.union(docs.where(F.col("doc_id").isNull()))

@@ -61,12 +61,17 @@ def _sentence_logits(sentences: list[tuple[int, int, list[int]]], model: Model)
     return model.bias + np.bincount(owner, model.weights[ids], minlength=len(sentences))
 
 
-def train(labelled: DataFrame, max_train_docs: int = 12_000, rounds: int = 150, rate: float = 0.3, l2: float = 0.01, min_docs: int = 3, min_z: float = 5.0) -> Model:
-    """Fit on (doc_id, text, toxic). The sample is the rows whose id hash is below max_train_docs / rows."""
-    rows = labelled.where("toxic IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    n = rows.count()
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 12_000, rounds: int = 150, rate: float = 0.3, l2: float = 0.01, min_docs: int = 3, min_z: float = 5.0) -> Model:
+    """Fit on `docs` (doc_id, text) with `labels` (doc_id, toxic).
+
+    The sample is the labels whose id hash is below max_train_docs / labels: about that many rows, which
+    is the bound that lets them be broadcast. Texts are read in place and never shuffled.
+    """
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    n = known.count()
     if n > max_train_docs:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * max_train_docs / n))
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * max_train_docs / n))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
