@@ -14,9 +14,15 @@ def is_distinct(a: Column, b: Column) -> Column:
 
 
 def _full(old: DataFrame, new: DataFrame, keys: list[str], rules: dict) -> DataFrame:
-    """Full outer join with a rule per column of `old`: rule(old value, new value, key in the change set)."""
+    """Old rows with their changes, and new rows, by a rule per column of `old`: rule(old value, new value, changed, known).
+
+    Written as left, semi and anti joins against the change set rather than as one full join: a change set under
+    the broadcast threshold then leaves the old snapshot where it is, however large that has grown.
+    """
     o, n = (df.select(*keys, F.struct(*[c for c in df.columns if c not in keys], F.lit(True).alias("__is")).alias(s)) for df, s in ((old, "o"), (new, "n")))
-    both = o.join(n, keys, "full")
+    met = old.select(*keys).join(new.select(*keys), keys, "left_semi")
+    fresh = n.join(met, keys, "left_anti").withColumn("o", F.lit(None).cast(o.schema["o"].dataType))
+    both = o.join(n, keys, "left").unionByName(fresh)
     hit = F.col("n").isNotNull()
     known = F.col("o").isNotNull()
     out = []
