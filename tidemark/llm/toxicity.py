@@ -61,7 +61,7 @@ def _sentence_logits(sentences: list[tuple[int, int, list[int]]], model: Model)
     return model.bias + np.bincount(owner, model.weights[ids], minlength=len(sentences))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 12_000, rounds: int = 150, rate: float = 0.3, l2: float = 0.01, min_docs: int = 3, min_z: float = 5.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 12_000, rounds: int = 300, rate: float = 0.6, l2: float = 0.01, min_docs: int = 3, min_z: float = 5.0) -> Model:
     """Fit on `docs` (doc_id, text) with `labels` (doc_id, toxic).
 
     The sample is the labels whose id hash is below max_train_docs / labels: about that many rows, which
