@@ -17,6 +17,8 @@ the deeper, then to the smaller leaf id; an empty table gives an empty result; a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,25 +51,25 @@ def _role_in(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def jump_tables(nodes: DataFrame, max_rounds: int = 40) -> list[DataFrame]:
-    """Tables (tree, id, up, total, depth): the k-th leads 2**k messages up (null above the root)."""
+def jump_tables(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (tree, id, size, up, total, depth): the k-th leads 2**k messages up (null above the root).
+
+    A tree of `size` messages is no deeper than that, so the k-th table holds only trees of more than
+    2**(k-1): one long conversation costs more rounds for itself, not for all.
+    """
+    sizes = nodes.groupBy(F.col("tree").alias("t")).agg(F.count(F.lit(1)).alias("size"))
     parents = nodes.select(F.col("tree").alias("t"), F.col("id").alias("p"))
-    known = nodes.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left")
-    tables = [materialise(known.select("tree", "id", F.col("p").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("depth")), "jump")]
-    for _ in range(max_rounds):
-        now = tables[-1]
-        open_, longest = now.agg(F.count("up"), F.max("depth")).first()
-        if not open_:
-            break
+    known = nodes.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left").drop("t")
+    sized = known.join(sizes, F.col("tree").eqNullSafe(F.col("t")))
+    tables = [materialise(sized.select("tree", "id", "size", F.col("p").alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("depth")), "jump")]
+    largest = tables[0].agg(F.max("size")).first()[0] or 0
+    while largest > 1 << (len(tables) - 1):
+        now = tables[-1].where(F.col("size") > 1 << (len(tables) - 1))
         above = now.select(F.col("tree").alias("t"), F.col("id").alias("p"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("steps"))
-        further = now.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("p")), "left").select(
-            "tree", "id", F.col("next").alias("up"),
-            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth"),
+        further = now.where("up IS NOT NULL").join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("p"))).select(
+            "tree", "id", "size", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("steps")).alias("depth")
         )
-        tables.append(materialise(further, "jump"))
-        if longest > (1 << 38):  # only a cycle doubles for ever
-            break
+        tables.append(materialise(further.unionByName(now.where("up IS NULL")), "jump"))
     return tables
 
 
@@ -79,7 +81,8 @@ def chosen_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     once = messages.dropDuplicates(["tree", "id"])
     nodes = materialise(once.select("tree", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
     tables = jump_tables(nodes)
-    ends = tables[-1].where("up IS NULL")
+    # Each tree is read from the table that completes it; what is open there hangs on a cycle.
+    ends = reduce(DataFrame.unionByName, (t.where((F.col("size") <= 1 << k) & F.col("up").isNull()) for k, t in enumerate(tables)))
     inner = tables[0].where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
     leaves = ends.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("p")), "left_anti")
     best = W.partitionBy("tree").orderBy(F.desc("branch_score"), F.desc("depth"), "id")
