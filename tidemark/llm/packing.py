@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
+from itertools import chain, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,13 @@ GRAIN = 16
 DEPTH = 3
 END_ID = 2
 #: Words a Python worker remembers; beyond it the memory is emptied and filled anew.
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 800_000
 
 #: Texts made of these only are split here; anything else goes to the tokenizer whole.
-_PLAIN = re.compile("[\t\n\x0b\x0c\r -~\xa1-\u024f]*").fullmatch
-_NUMERIC = "\\d\xb2\xb3\xb9\xbc-\xbe"
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W{_NUMERIC}_]+|[{_NUMERIC}]|(?:[^\s\w]|_)+").findall
+_PLAIN = re.compile("[\t\n\x0b\x0c\r -~\xa1-\u017f]*").fullmatch
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+_NUMERIC = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(f"[{_LETTERS}]+|[{_NUMERIC}]|'(?:s|t|re|ve|m|ll|d)|[^ \t-\r{_LETTERS}{_NUMERIC}]+").findall
 
 
 class WordTokenizer:
@@ -83,14 +84,15 @@ class WordTokenizer:
     def batch(self, texts: list[str | None]) -> list[bytes]:
         out, step = [], 64
         for a in range(0, len(texts), step):
-            split = [_PIECES(t.lower()) if _PLAIN(t) and "<|" not in t else None for t in (x or "" for x in texts[a : a + step])]
-            fresh = list({w for ws in split if ws for w in ws} - self.memo.keys())
+            part = [x or "" for x in texts[a : a + step]]
+            split = [_PIECES(t.lower()) if _PLAIN(t) and "<|" not in t else None for t in part]
+            words = set(chain.from_iterable(filter(None, split)))
+            fresh = words.difference(self.memo)
             if fresh:
-                known = {w for ws in split if ws for w in ws} & self.memo.keys() if len(self.memo) + len(fresh) > _MEMO_WORDS else ()
-                self._learn([*fresh, *known])
-            memo = self.memo
-            for t, ws in zip(texts[a : a + step], split, strict=True):
-                out.append(self._whole(t) if ws is None else b"".join([memo[w] for w in ws]))
+                # A full memory starts anew; then the words it knew have to be learnt with the rest.
+                self._learn(list(words if len(self.memo) + len(fresh) > _MEMO_WORDS else fresh))
+            ids = self.memo.__getitem__
+            out += [self._whole(t) if ws is None else b"".join(map(ids, ws)) for t, ws in zip(part, split, strict=True)]
         return out
 
 
@@ -141,11 +143,10 @@ def fillings(units: int, depth: int = DEPTH) -> np.ndarray:
 
 def nnls(a: np.ndarray, b: np.ndarray, tol: float = 1e-9) -> np.ndarray:
     """min |a x - b| with x >= 0, by the active-set method of Lawson and Hanson."""
-    gram, rhs = a.T @ a, a.T @ b
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    scale = max(1.0, float(np.abs(rhs).max(initial=0)))
+    scale = max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     for _ in range(3 * a.shape[0]):
-        grad = np.where(free, -np.inf, rhs - gram @ x)
+        grad = np.where(free, -np.inf, a.T @ (b - a @ x))
         j = int(grad.argmax())
         if grad[j] <= tol * scale:
             break
