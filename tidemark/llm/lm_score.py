@@ -19,6 +19,7 @@ documents; a null doc_id is kept; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,12 @@ from pyspark.sql import functions as F
 ORDER = 2
 ALPHA = 0.4
 MIN_COUNT = 2
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 #: Odd multipliers of a 64-bit finaliser.
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 _PACKED = "bucket bigint, block bigint, size int, keys binary, counts binary"
-_TOTALS = "block bigint, bucket bigint, size int, totals binary"
+_TOTALS = "block bigint, bucket bigint, size int, n bigint, totals binary"
 _SCORES = "doc_id bigint, n_words bigint, log_score double"
 
 
@@ -48,9 +49,9 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _ngrams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(words per text, place of each word in its text, keys of the n-grams of size 0..order that end at each word)."""
+    """(words per text, place of each word in its text, keys of the n-grams of size 1..order that end at each word)."""
     memo: dict[bytes, int] = {}
-    hashed, sizes = [], []
+    hashed, sizes = array("Q"), []
     for t in texts:
         words = (t or b"").lower().split()
         sizes.append(len(words))
@@ -59,10 +60,10 @@ def _ngrams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarr
             if h is None:
                 h = memo[w] = xxhash.xxh64_intdigest(w)
             hashed.append(h)
-    word = np.array(hashed, np.uint64)
+    word = np.frombuffer(hashed, np.uint64) if hashed else np.zeros(0, np.uint64)
     n = np.array(sizes, np.int64)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-    keys = [np.zeros(len(word), np.uint64), word]
+    place = (np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    keys = [word]
     for _ in range(order - 1):
         longer = np.zeros(len(word), np.uint64)
         longer[1:] = _mix(keys[-1][:-1], word[1:])
@@ -70,24 +71,30 @@ def _ngrams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarr
     return n, place, keys
 
 
-def _used(place: np.ndarray, size: int) -> np.ndarray:
-    return np.flatnonzero(place >= size - 1)
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest width that holds them; readers know it from the length."""
+    top = int(counts.max(initial=0))
+    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64)
 
 
 def _pack(order: int, bits: int):
     def fn(key: tuple, table: pa.Table) -> pa.Table:
         _, place, keys = _ngrams(table.column("text").to_pylist(), order)
-        rows = []
-        for size in range(order + 1):
-            uniq, counts = np.unique(keys[size][_used(place, size)], return_counts=True)
-            bucket = (uniq >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(uniq), np.int64)
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            for u, c, b in zip(np.split(uniq, cuts), np.split(counts, cuts), np.split(bucket, cuts), strict=True):
+        block = key[0].as_py()
+        # The n-gram without words is every position: its total is the corpus size.
+        rows = [(0, block, 0, np.zeros(1, np.uint64).tobytes(), _small(np.array([len(place)])))]
+        for size in range(1, order + 1):
+            uniq, counts = np.unique(keys[size - 1][place >= size - 1], return_counts=True)
+            cuts = np.searchsorted(uniq, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+            for b, (u, c) in enumerate(zip(np.split(uniq, cuts), np.split(counts, cuts), strict=True)):
                 if len(u):
-                    rows.append((int(b[0]), key[0].as_py(), size, u.tobytes(), c.astype(np.uint32).tobytes()))
+                    rows.append((b, block, size, u.tobytes(), _small(c)))
         types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "block", "size", "keys", "counts"])
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "block", "size", "keys", "counts"])
 
     return fn
 
@@ -100,38 +107,42 @@ def _merge(key: tuple, table: pa.Table) -> pa.Table:
         rows = np.flatnonzero(size == k)
         parts = [np.frombuffer(keys[r], np.uint64) for r in rows]
         _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([np.frombuffer(counts[r], np.uint32) for r in rows])).astype(np.int64)[inverse]
+        seen = np.concatenate([_wide(counts[r], len(p)) for r, p in zip(rows, parts, strict=True)])
+        total = np.bincount(inverse, seen).astype(np.int64)[inverse]
         for r, t in zip(rows, np.split(total, np.cumsum([len(p) for p in parts])[:-1]), strict=True):
-            totals[r] = t.tobytes()
-    bucket = table.column("bucket")
-    return pa.table([pa.array(block), bucket, pa.array(size, pa.int32()), pa.array(totals, pa.binary())], names=["block", "bucket", "size", "totals"])
+            totals[r] = _small(t)
+    n = pa.array([len(k) // 8 for k in keys], pa.int64())
+    return pa.table([pa.array(block), table.column("bucket"), pa.array(size, pa.int32()), n, pa.array(totals, pa.binary())], names=["block", "bucket", "size", "n", "totals"])
 
 
 def _score(order: int, alpha: float, min_count: int):
     def fn(docs: pa.Table, totals: pa.Table) -> pa.Table:
         n, place, keys = _ngrams(docs.column("text").to_pylist(), order)
-        size, bucket = totals.column("size").to_numpy(), totals.column("bucket").to_numpy()
+        size, bucket, many = (totals.column(c).to_numpy() for c in ("size", "bucket", "n"))
         raw = totals.column("totals").to_pylist()
-        seen = []
-        for k in range(order + 1):
-            count = np.zeros(len(place), np.int64)
+
+        def counted(k: int) -> np.ndarray:
+            """Corpus counts of the n-grams of size k at each word."""
             rows = np.flatnonzero(size == k)
-            if len(rows):
-                got = np.concatenate([np.frombuffer(raw[r], np.int64) for r in rows[np.argsort(bucket[rows], kind="stable")]])
-                used = _used(place, k)
-                count[used] = got[np.unique(keys[k][used], return_inverse=True)[1]]
-            seen.append(count)
+            got = [_wide(raw[r], many[r]) for r in rows[np.argsort(bucket[rows], kind="stable")]]
+            out = np.zeros(len(place), np.int64)
+            used = place >= k - 1
+            if got:
+                out[used] = np.concatenate(got)[np.unique(keys[k - 1][used], return_inverse=True)[1]]
+            return out
+
+        score = np.zeros(len(n))
         if len(place):
-            log = np.log(seen[1] / seen[0])
+            corpus = int(_wide(raw[np.flatnonzero(size == 0)[0]], 1)[0])
+            shorter = counted(1)
+            log = np.log(shorter / corpus)
             for k in range(2, order + 1):
-                on = (place >= k - 1) & (seen[k] >= min_count)
-                context = np.r_[np.int64(0), seen[k - 1][:-1]]
-                log = np.where(place >= k - 1, log + math.log(alpha), log)
-                log[on] = np.log(seen[k][on] / context[on])
-        else:
-            log = np.zeros(0)
-        doc = np.repeat(np.arange(len(n)), n)
-        score = np.bincount(doc, log, minlength=len(n)) if len(n) else np.zeros(0)
+                seen = counted(k)
+                log[place >= k - 1] += math.log(alpha)
+                on = np.flatnonzero((place >= k - 1) & (seen >= min_count))
+                log[on] = np.log(seen[on] / shorter[on - 1])
+                shorter = seen
+            score = np.bincount(np.repeat(np.arange(len(n)), n), log, minlength=len(n))
         return pa.table([docs.column("doc_id"), pa.array(n), pa.array(score, pa.float64())], names=["doc_id", "n_words", "log_score"])
 
     return fn
