@@ -36,3 +36,8 @@ def test_query_matches_sql(spark, sf, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith(("op", "pipeline"))))
+def test_query_without_sql_answers(spark, sf, name):
+    assert entry.queries()[name](spark, sf).count() > 0
