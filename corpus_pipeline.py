@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, line_quality, packing, secret_scan, simhash
+from tidemark.llm import decontam, line_quality, near_copies, packing, secret_scan
 from tidemark.llm.queries import tokenizer_path
 from tidemark.sources.shared import materialise
 
@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: SimHash, alignment and tokenising have no SQL form; tests hold run() against a brute-force version.
+#: Shingle sets, alignment and tokenising have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
