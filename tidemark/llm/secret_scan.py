@@ -47,8 +47,13 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", min_len=18),
     Rule("hex", r"[0-9a-f]+", min_len=16),
 )
+#: A key up to its END line, which is the next marker; where there is none, the header and the base64 lines after it.
+_KEY_HEAD = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+_KEY_END = r"[^-]*(?:-(?!----)[^-]*)*-----+END [A-Z ]{0,40}PRIVATE KEY-----"
+_KEY_GAP = r"(?:\s|\\[nr])+"
+_KEY_LINES = rf"(?:(?:{_KEY_GAP}(?:(?:Proc-Type|DEK-Info):[^\n]*|[A-Za-z0-9+/]{{16,}}={{0,2}}))+(?:{_KEY_GAP}[A-Za-z0-9+/]+={{0,2}}(?=[\s\"'\\]|\Z))?)?"
 EXTRA_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", f"{_KEY_HEAD}(?:{_KEY_END}|{_KEY_LINES})"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]+", min_len=40),
     Rule("chat_token", r"xox[baprs]-[A-Za-z0-9-]+", min_len=20),
     Rule("signed_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
