@@ -118,8 +118,8 @@ def _telling(words: np.ndarray, toxic: np.ndarray, y: np.ndarray, min_docs: int,
     return (alls >= min_docs) & (np.abs(ones / pos - (alls - ones) / neg) >= min_z * error)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", worst: int = 3) -> DataFrame:
-    """`docs` with `score` and `sentences`: the `worst` offending sentences (start, end, p)."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", worst: int | None = None) -> DataFrame:
+    """`docs` with `score` and `sentences`: every sentence with p > 0.5 (start, end, p), worst first; `worst` asks for that many only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one fixed-size vector
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
 
