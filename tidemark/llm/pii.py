@@ -3,7 +3,7 @@
 Base matches (e-mail, IPv4, card, phone) are the seeds. Around seeds and around every other
 identifier-like token (digit runs, address-like words) lexical contexts are taken: the word
 before, the two words before, and the words on both sides. Contexts (patterns) and identifiers (instances) form a
-bipartite graph, scored on Spark in rounds:
+bipartite graph, scored on Spark in rounds until no round finds anything new:
 
   pattern confidence for a kind = distinct known instances of the kind / (all its distinct instances + 1)
   instance confidence = 1 - prod(1 - pattern confidence), over trusted patterns of a kind its shape allows
@@ -60,7 +60,8 @@ class Trust:
     pattern: float = 0.8
     instance: float = 0.8
     support: int = 5
-    rounds: int = 2
+    #: More rounds than this are an error.
+    max_rounds: int = 100
 
 
 def _luhn(digits: str) -> bool:
@@ -172,8 +173,8 @@ def bootstrap(occurrences: DataFrame, trust: Trust = Trust()) -> tuple[DataFrame
     known = edges.groupBy("instance").agg(F.min("seed").alias("kind")).where("kind IS NOT NULL")
     links = edges.select("pattern", "instance").distinct()
     open_ = edges.where("seed IS NULL").select("pattern", "instance", F.explode("shapes").alias("kind")).distinct()
-    patterns = found = None
-    for _ in range(trust.rounds):
+    patterns = found = seen = None
+    for _ in range(trust.max_rounds):
         labelled = links.join(known.withColumnRenamed("kind", "known"), "instance", "left")
         counts = labelled.groupBy("pattern").agg(
             F.count(F.lit(1)).alias("all"), *(F.count_if(F.col("known") == k).alias(k) for k in KINDS)
@@ -186,7 +187,13 @@ def bootstrap(occurrences: DataFrame, trust: Trust = Trust()) -> tuple[DataFrame
         best = scored.groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("instance", "b.kind", "b.confidence")
         found = materialise(best.where(F.col("confidence") >= trust.instance), "pii-found")
         known = known.unionByName(found.select("instance", "kind")).groupBy("instance").agg(F.min("kind").alias("kind"))
-    return patterns, found
+        known = materialise(known, "pii-known")
+        # The known only grow and their kinds only fall, so equal tables mean that nothing is left to find.
+        state = known.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("instance", "kind")).alias("h")).first()
+        if state == seen:
+            return patterns, found
+        seen = state
+    raise RuntimeError("the bootstrap did not settle")
 
 
 def find(docs: DataFrame, text_col: str = "text", trust: Trust = Trust()) -> DataFrame:
