@@ -36,6 +36,12 @@ def op1_backoff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
 
 
+def op1_trigram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_backoff_score, whose SQL is of bigrams, with contexts of two words."""
+    out = lm_score.score(_table(spark, sf_dir, "documents"), order=3)
+    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
@@ -119,7 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_backoff_score, op2_contextual_pii, op3_reply_trees, op4_line_quality, op5_secret_scan,
-        op6_nnls_packing, op7_arc_to_warc, op8_toxic_sentences, op9_simhash_groups, op10_decontamination,
+        op6_nnls_packing, op7_arc_to_warc, op8_toxic_sentences, op9_simhash_groups, op10_decontamination, op1_trigram_score,
     )
 }
 
