@@ -37,9 +37,8 @@ def op1_backoff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_trigram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1_backoff_score, whose SQL is of bigrams, with contexts of two words."""
-    out = lm_score.score(_table(spark, sf_dir, "documents"), order=3)
-    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+    """op1_backoff_score under the name it had while that one scored bigrams."""
+    return op1_backoff_score(spark, sf_dir)
 
 
 def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,14 +139,17 @@ ORACLE_SQL: dict[str, str] = {
     "op1_backoff_score": f"""
         WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words_sql(_LOWER)} AS ws FROM documents),
         uni AS MATERIALIZED (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
-        big AS MATERIALIZED (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS p FROM uni),
+        tri AS MATERIALIZED (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS p, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS q FROM uni),
         c1 AS MATERIALIZED (SELECT w, count(*) AS n FROM uni GROUP BY w),
-        c2 AS MATERIALIZED (SELECT p, w, count(*) AS n FROM big WHERE p IS NOT NULL GROUP BY p, w),
+        c2 AS MATERIALIZED (SELECT p, w, count(*) AS n FROM tri WHERE p IS NOT NULL GROUP BY p, w),
+        c3 AS MATERIALIZED (SELECT q, p, w, count(*) AS n FROM tri WHERE q IS NOT NULL GROUP BY q, p, w),
         total AS (SELECT count(*) AS n FROM uni),
-        scored AS (SELECT big.r, CASE WHEN big.p IS NULL THEN ln(c1.n / total.n)
-                         WHEN c2.n >= 2 THEN ln(c2.n / c0.n) ELSE ln(0.4) + ln(c1.n / total.n) END AS s
-                   FROM big CROSS JOIN total JOIN c1 ON c1.w = big.w
-                   LEFT JOIN c2 ON c2.p = big.p AND c2.w = big.w LEFT JOIN c1 c0 ON c0.w = big.p)
+        one AS (SELECT tri.r, tri.q, c3.n AS n3, c0.n AS n0, tri.p, c2.n AS n2, b.n AS nb, c1.n AS n1, total.n AS n FROM tri CROSS JOIN total JOIN c1 ON c1.w = tri.w
+                LEFT JOIN c2 ON c2.p = tri.p AND c2.w = tri.w LEFT JOIN c1 b ON b.w = tri.p
+                LEFT JOIN c3 ON c3.q = tri.q AND c3.p = tri.p AND c3.w = tri.w LEFT JOIN c2 c0 ON c0.p = tri.q AND c0.w = tri.p),
+        scored AS (SELECT r, CASE WHEN q IS NOT NULL AND n3 >= 2 THEN ln(n3 / n0)
+                         ELSE CASE WHEN q IS NOT NULL THEN ln(0.4) ELSE 0 END
+                              + CASE WHEN p IS NOT NULL AND n2 >= 2 THEN ln(n2 / nb) ELSE CASE WHEN p IS NOT NULL THEN ln(0.4) ELSE 0 END + ln(n1 / n) END END AS s FROM one)
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(sum(s), 0), 4) AS log_score
         FROM docs LEFT JOIN scored USING (r) GROUP BY r, doc_id, ws""",
     "op3_reply_trees": r"""
@@ -192,3 +194,4 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to
         FROM k""",
 }
+ORACLE_SQL["op1_trigram_score"] = ORACLE_SQL["op1_backoff_score"]
