@@ -95,8 +95,8 @@ def test_fingerprints(docs):
     assert got == Counter((r.doc_id, brute_fp(r.text)) for r in docs.collect())
 
 
-@pytest.mark.parametrize("parts,leaf_rows", [(4, 4096), (4, 3), (2, 4096)])
-def test_links_and_components(spark, parts, leaf_rows):
+@pytest.mark.parametrize("radius,leaf_rows", [(3, 4096), (3, 64), (3, 6), (2, 30), (5, 40), (0, 10)])
+def test_links_and_components(spark, radius, leaf_rows):
     rng = np.random.default_rng(5)
     fps = []
     for _ in range(60):
@@ -108,22 +108,52 @@ def test_links_and_components(spark, parts, leaf_rows):
             fps.append(x)
     fps = list(dict.fromkeys(fps))
     points = [(1000 - i, x) for i, x in enumerate(fps)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x), i) for i, x in points], "fp long, id long")
-    got = {r.node: r.root for r in simhash.components(simhash.near_links(df, 3, parts, leaf_rows)).collect()}
-    want = brute_components(points)
+    got = {r.node: r.root for r in simhash.components(simhash.near_links(df, radius, leaf_rows)).collect()}
+    want = brute_components(points, radius)
     assert {i: got.get(i, i) for i, _ in points} == want
-    assert len(set(want.values())) < len(points)
+    assert len(set(want.values())) < len(points) or radius == 0
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_default_leaves_split_and_match_brute_force(spark):
+    """Enough points that nodes go on down at the default settings; one crowd is alike on a projection, which no depth parts."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    near = base[:900] ^ (np.uint64(1) << rng.integers(0, 64, 900, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 900, dtype=np.uint64))
+    crowd = np.uint64(0xABCDEF01) | (rng.integers(0, 2**32, 5000, dtype=np.uint64) << np.uint64(32))
+    fps = np.unique(np.r_[base, near, crowd])
+    df = spark.createDataFrame([(signed(int(x)), i) for i, x in enumerate(fps)], "fp long, id long")
+    got = {r.node: r.root for r in simhash.components(simhash.near_links(df)).collect()}
+    root = np.arange(len(fps))
+    pairs = [(i, i + 1 + j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3).tolist()]
+    while any(root[i] != root[j] for i, j in pairs):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    assert {i: got.get(i, i) for i in range(len(fps))} == dict(enumerate(root.tolist()))
+    assert len(pairs) > 800
 
 
 def test_dense_leaf_gives_a_star(spark):
     fps = [0, *(1 << b for b in range(63)), -(1 << 63)]
     df = spark.createDataFrame([(x, i) for i, x in enumerate(fps)], "fp long, id long")
     edges = simhash.near_links(df)
-    assert edges.count() <= 4 * 65
+    assert edges.count() <= 8 * 65
     assert {r.root for r in simhash.components(edges).collect()} == {0}
 
 
+def test_ids_of_any_size(spark):
+    ids = [2**63 - 1, 2**62 + 5, -(2**63), 2**62 + 9, None, 7]
+    rows = [(i, f"text number {n} of its own kind and {n * 37} more", "x") for n, i in enumerate(ids)] + [(2**62 + 1, "text number 5 of its own kind and 185 more", "x"), (None, "only null ids", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `c0` string")
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {(i, i) for i in ids} | {(2**62 + 1, 7), (None, None)}
+    assert Counter(r.doc_id for r in simhash.keep_one(docs).collect()) == Counter([*ids, None])
+
+
 def test_near_duplicates_edge_rows(docs, empty):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == docs.count()
