@@ -1,14 +1,18 @@
 """Near copies: groups of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates: every set of shingles has `BANDS` keys, each made of `ROWS` min-hashes. Two sets of similarity s
-share one with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8, 0.22 at 0.4. Buckets with the same members
-in several bands are taken once.
+Candidates come from two places. SimHash fingerprints of the shingles are linked at 3 bits through the vantage-point trees; a linked group is
+a bucket. As two texts at a similarity of 0.8 differ in about 10 of 64 bits, a radius that catches them all would join everything, so every set of
+shingles also has `BANDS` keys, each made of `ROWS` min-hashes: two sets of similarity s share one with probability
+1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8, 0.22 at 0.4. Buckets with the same members are taken once.
 
 Links: inside a bucket sets are compared exactly, so a shared template, passage or band never joins clean
 documents. A bucket of more than `leaf_rows` is cut into chunks, and every pair of chunks is a task of its own.
 Tasks report a spanning star of each group; groups are merged by star contraction. Equal sets collapse before any of this.
 
 Words are cut and lowered as for fingerprints; a text of fewer than five words is one shingle, and texts without words are equal.
+
+Defined results: a null doc_id, or one that is no integer, links nothing and stays; rows that repeat an id are one document; null text is empty;
+texts of any length are read whole; an empty table gives an empty result; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.lm_score import _mix, _ngrams
-from tidemark.llm.simhash import _edges, components
+from tidemark.llm.simhash import _edges, components, near_links, one_of_each
 from tidemark.sources.shared import materialise
 
 SIZE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 5
 _SEEDS = tuple(np.uint64(xxhash.xxh64_intdigest(f"minhash-{i}".encode()) | 1) for i in range(BANDS * ROWS))
-#: Texts that are hashed at a time.
-_SLICE = 256
+#: Bytes of text that are hashed at a time.
+_SLICE = 2_000_000
 
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -57,23 +61,50 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
+def fingerprints_of(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each set: a bit is set if more than half of its shingles have it; no set is empty."""
+    flat = np.concatenate(sets).astype(">u8").view(np.uint8).reshape(-1, 8)
+    starts, sizes = np.cumsum([0, *(len(s) for s in sets[:-1])]), np.array([len(s) for s in sets])
+    out = np.zeros((len(sets), 8), np.uint8)
+    for k in range(8):
+        ones = np.add.reduceat(np.unpackbits(flat[:, k, None], axis=1), starts, axis=0, dtype=np.int64)
+        out[:, k] = np.packbits(2 * ones > sizes[:, None], axis=1)[:, 0]
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _slices(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or b"")
+        if size >= _SLICE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, same (hash of the set of shingles), bands. Narrow."""
+    """doc_id, same (hash of the set of shingles), fp (SimHash), bands. Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), _SLICE):
-                b = whole.slice(at, _SLICE)
-                sets = shingle_sets(b.column(1).cast(pa.binary()).to_pylist())
+            at = 0
+            for texts in _slices(whole.column(1).cast(pa.binary()).to_pylist()):
+                sets = shingle_sets(texts)
                 same = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 full = np.array([len(s) > 0 for s in sets])
-                keys = band_keys([s for s in sets if len(s)]) if full.any() else np.zeros((0, BANDS), np.uint64)
+                some = [s for s in sets if len(s)]
+                fp, keys = np.zeros(len(sets), np.uint64), np.zeros((0, BANDS), np.uint64)
+                if some:
+                    fp[full], keys = fingerprints_of(some), band_keys(some)
                 ends = np.r_[0, np.cumsum(full * BANDS)].astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), bands], names=["doc_id", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, len(sets)), pa.array(same), pa.array(fp.view(np.int64)), bands], names=["doc_id", "same", "fp", "bands"])
+                at += len(sets)
 
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, same bigint, bands array<bigint>")
+    src = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, "doc_id bigint, same bigint, fp bigint, bands array<bigint>")
 
 
 def _stars(sets: list[np.ndarray], ids: np.ndarray, similar: float) -> list[tuple[int, int]]:
@@ -118,8 +149,11 @@ def _leaf(similar: float):
 
 
 def similar_links(docs: DataFrame, sets: DataFrame, points: DataFrame, similar: float = SIMILAR, leaf_rows: int = 1024) -> DataFrame:
-    """Edges (u, v) that span every group of similar texts. `docs`: doc_id, text; `sets`: sketches; `points`: same, id."""
-    placed = materialise(sets.select("same", F.explode("bands").alias("bucket")).distinct(), "placed")
+    """Edges (u, v) that span every group of similar texts. `docs`: doc_id, text; `sets`: sketches; `points`: same, fp, id."""
+    prints = materialise(points.select(F.col("fp").alias("id"), "fp").distinct(), "prints")
+    groups = components(near_links(prints))
+    by_print = points.join(groups, points["fp"] == groups["node"], "left").select("same", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("bucket"))
+    placed = materialise(sets.select("same", F.explode("bands").alias("bucket")).union(by_print).distinct(), "placed")
     buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("same")).alias("all"), F.min("same").alias("lo"), F.max("same").alias("hi"))
     once = buckets.where("n > 1").groupBy("n", "all", "lo", "hi").agg(F.min("bucket").alias("bucket"))
     once = materialise(once.select("bucket", F.ceil(F.col("n") / leaf_rows).cast("int").alias("k")), "buckets")
@@ -134,19 +168,14 @@ def similar_links(docs: DataFrame, sets: DataFrame, points: DataFrame, similar:
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", similar: float = SIMILAR, leaf_rows: int = 1024) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable over links, itself included), for rows with an id."""
-    src = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     sets = materialise(sketches(src), "sketches")
-    points = materialise(sets.groupBy("same").agg(F.min("doc_id").alias("id")), "points")
+    points = materialise(sets.groupBy("same", "fp").agg(F.min("doc_id").alias("id")), "points")
     joined = components(similar_links(src, sets, points, similar, leaf_rows))
     classes = points.join(joined, points["id"] == joined["node"], "left").select("same", F.coalesce("root", "id").alias("component_id"))
     return sets.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
-    """`docs` with one row of each group of near copies: that of the smallest doc_id.
-
-    Rows with a null id always stay and link nothing; rows that repeat an id are one document.
-    """
-    stays = near_duplicates(docs, text_col, **limits).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(stays, "doc_id").dropDuplicates(["doc_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    """`docs` with one row of each group of near copies: that of the smallest doc_id."""
+    return one_of_each(docs, near_duplicates(docs, text_col, **limits), text_col)
