@@ -1,19 +1,24 @@
 """Personal data: exact base patterns, and contextual patterns bootstrapped from them.
 
 Base matches (e-mail, IPv4, card, phone) are the seeds. Around seeds and around every other
-identifier-like token (digit runs, address-like words) lexical contexts are taken: the word
-before, the two words before, and the words on both sides. Contexts (patterns) and identifiers (instances) form a
+identifier-like token (groups of digits, spelt-out addresses) lexical contexts are taken: one and two words before, one and two
+words after, and the words on both sides. Contexts (patterns) and identifiers (instances) form a
 bipartite graph, scored on Spark in rounds until no round finds anything new:
 
-  pattern confidence for a kind = distinct known instances of the kind / (all its distinct instances + 1)
+  pattern confidence for a kind = known / (known + against + open / 4 + 1/2), each a number of distinct instances in the pattern's place:
+      known of the kind, against it (of another kind, or of a shape the kind does not allow), and open (unknown, the shape allows the kind)
   instance confidence = 1 - prod(1 - pattern confidence), over trusted patterns of a kind its shape allows
 
-Instances above the threshold join the known ones in the next round, and their occurrences become
-added spans. Edges are distinct before any join, so a context or an identifier that a third of
-all rows share is one row of the graph per neighbour. Texts are read once.
+Plain short numbers speak against every kind, so a context that any number can
+have ("the 12", "in 1999") is not trusted. Instances above the threshold join the known ones in the next round, and their
+occurrences become added spans. Edges are distinct before any join, so a context or an identifier that a third of
+all rows share is one row of the graph per neighbour; the list of found identifiers is broadcast only below Spark's threshold, and
+beyond it the join is split by AQE where one identifier is frequent. Texts are read once.
 
 Defined results: null text is empty; spans are code points, end exclusive, by kind as listed and then start;
-base spans always stay and added ones never overlap them; repeated rows get equal spans.
+base spans always stay and added ones never overlap them; an identifier that two kinds claim equally goes to the first as listed; contexts
+reach `reach` characters to either side, texts of any length are read whole; repeated rows get equal spans; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,9 +41,13 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOOSE_DIGITS = re.compile(r"(?<![0-9().:+/-])[+(]?[0-9][0-9().:/-]{4,}[0-9]")
-_LOOSE_AT = re.compile(r"@[A-Za-z0-9.-]+")
-_BEFORE = re.compile(r"\S+")
+#: Groups of digits with single separators (or a bracket and a space) between them, not inside a longer word.
+_LOOSE_DIGITS = re.compile(r"(?<![0-9A-Za-z])(?<![0-9][.:/-])[+(]?[0-9]+(?:(?:\[\.\]|\) ?| ?\(|[ .:/-])[0-9]+)*(?![0-9A-Za-z])")
+#: Addresses whose signs are spelt out or spaced, found from the first sign; a domain has two parts at least.
+_LOOSE_AT = re.compile(r" ?[(\[](?:at|@)[)\]] ?| at | ?@ ?", re.I)
+_LOOSE_DOT = re.compile(r" ?[(\[](?:dot|\.)[)\]] ?| dot |\.", re.I)
+_LOOSE_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:{_LOOSE_DOT.pattern})[A-Za-z0-9-]+)+", re.I)
+_WORDS = re.compile(r"[^\s.,;!?|\"()\[\]<>]+")
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 OCC = T.StructType(
@@ -55,11 +64,11 @@ OCC = T.StructType(
 
 @dataclass(frozen=True)
 class Trust:
-    """Thresholds of the bootstrap."""
+    """Thresholds of the bootstrap: confidences, and the distinct known instances that a pattern needs."""
 
     pattern: float = 0.8
     instance: float = 0.8
-    support: int = 5
+    support: int = 4
     #: More rounds than this are an error.
     max_rounds: int = 100
 
@@ -99,48 +108,70 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _shapes(token: str) -> list[str]:
-    if "@" in token:
+    """The kinds a candidate could be; a token of none (a short number) only speaks against its contexts."""
+    if not token[0].isdigit() and token[0] not in "+(":
         return ["email"]
-    digits = sum(c.isdigit() for c in token)
+    groups = re.findall("[0-9]+", token)
+    digits = sum(map(len, groups))
     found = []
-    if token.count(".") + token.count(":") >= 3 and digits >= 4:
-        found.append("ip")
-    if 13 <= digits <= 19 and not set(token) - set("0123456789-"):
+    if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and not set(token) & set("+()/ -"):
+        return ["ip"]
+    if 13 <= digits <= 19 and not set(token) - set("0123456789 -"):
         found.append("card")
-    if 7 <= digits <= 15:
+    if 7 <= digits <= 15 and ":" not in token:
         found.append("phone")
     return found
 
 
 def _context(text: str, start: int, end: int, reach: int = 80) -> list[str]:
     """Lexical patterns around a span, from at most `reach` characters on either side."""
-    left = [w.lower() for w in _BEFORE.findall(text[max(0, start - reach) : start])][-2:]
-    right = [w.lower() for w in _BEFORE.findall(text[end : end + reach])][:1]
+    left = [w.lower() for w in _WORDS.findall(text[max(0, start - reach) : start])][-2:]
+    right = [w.lower() for w in _WORDS.findall(text[end : end + reach])][:2]
     out = []
     if left:
-        out.append("1 " + left[-1])
-        if len(left) == 2:
-            out.append("2 " + " ".join(left))
-        if right:
-            out.append("3 " + left[-1] + " _ " + right[0])
+        out.append(f"{left[-1]} _")
+    if len(left) == 2:
+        out.append(" ".join(left) + " _")
+    if right:
+        out.append(f"_ {right[0]}")
+    if len(right) == 2:
+        out.append("_ " + " ".join(right))
+    if left and right:
+        out.append(f"{left[-1]} _ {right[0]}")
     return out
 
 
-def _norm(token: str) -> str:
-    return token.lower() if "@" in token else "".join(c for c in token if c.isalnum() or c == ".")
+def _said_addresses(text: str) -> list[tuple[int, int]]:
+    out, last = [], 0
+    for m in _LOOSE_AT.finditer(text):
+        a, host = m.start(), _LOOSE_HOST.match(text, m.end())
+        while host and a > last and text[a - 1] in _LOCAL:
+            a -= 1
+        if host and a < m.start():
+            out.append((a, host.end()))
+            last = host.end()
+    return out
+
+
+def _norm(token: str, kind: str | None = None) -> str:
+    """One name for all ways to write an identifier."""
+    if "@" in token or token[0] not in "0123456789+(":
+        return _LOOSE_DOT.sub(".", _LOOSE_AT.sub("@", token)).lower()
+    return ".".join(re.findall("[0-9]+", token)) if kind == "ip" or _shapes(token) == ["ip"] else re.sub("[^0-9]", "", token)
 
 
 def _occurrences(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
     taken = sorted((a, b) for _, a, b in base)
     out = [
-        {"instance": _norm(text[a:b]), "start": a, "end": b, "seed": k, "shapes": [k], "patterns": _context(text, a, b)} for k, a, b in base
+        {"instance": _norm(text[a:b], k), "start": a, "end": b, "seed": k, "shapes": [k], "patterns": _context(text, a, b)} for k, a, b in base
     ]
-    loose = [m.span() for m in _LOOSE_DIGITS.finditer(text)] + (_at_spans(text, _LOOSE_AT) if "@" in text else [])
+    loose = [m.span() for m in _LOOSE_DIGITS.finditer(text)] + _said_addresses(text)
     i, last = 0, 0
     for a, b in sorted(loose):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        j, clear = i, a >= last
+        # Not over a base span (which are in order of start, but may overlap each other), nor over the candidate before.
+        clear, j = a >= last, i
         while clear and j < len(taken) and taken[j][0] < b:
             clear = taken[j][1] <= a
             j += 1
@@ -161,6 +192,10 @@ def extract(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return append_columns(docs, [text_col], [T.StructField("base", T.ArrayType(SPAN)), T.StructField("occ", T.ArrayType(OCC))], fn)
 
 
+def _place(kind: F.Column) -> F.Column:
+    return F.array_position(F.array(*(F.lit(x) for x in KINDS)), kind)
+
+
 def bootstrap(occurrences: DataFrame, trust: Trust = Trust()) -> tuple[DataFrame, DataFrame]:
     """(trusted patterns: pattern, kind, confidence; found instances: instance, kind, confidence).
 
@@ -171,20 +206,21 @@ def bootstrap(occurrences: DataFrame, trust: Trust = Trust()) -> tuple[DataFrame
     )
     # An identifier counts as known by its first kind; the rest of the graph is open.
     known = edges.groupBy("instance").agg(F.min("seed").alias("kind")).where("kind IS NOT NULL")
-    links = edges.select("pattern", "instance").distinct()
+    may = [F.bool_or(F.array_contains("shapes", k)).alias(f"may_{k}") for k in KINDS]
+    links = materialise(edges.groupBy("pattern", "instance").agg(*may), "pii-links")
     open_ = edges.where("seed IS NULL").select("pattern", "instance", F.explode("shapes").alias("kind")).distinct()
     patterns = found = seen = None
     for _ in range(trust.max_rounds):
         labelled = links.join(known.withColumnRenamed("kind", "known"), "instance", "left")
-        counts = labelled.groupBy("pattern").agg(
-            F.count(F.lit(1)).alias("all"), *(F.count_if(F.col("known") == k).alias(k) for k in KINDS)
-        )
-        patterns = counts.select("pattern", "all", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in KINDS))).alias("s")).select(
-            "pattern", "s.kind", (F.col("s.n") / (F.col("all") + 1)).alias("confidence"), F.col("s.n").alias("support")
-        ).where((F.col("support") >= trust.support) & (F.col("confidence") >= trust.pattern))
+        tally = [F.struct(F.lit(k).alias("kind"), F.count_if(F.col("known") == k).alias("n"), F.count_if(F.col("known").isNull() & F.col(f"may_{k}")).alias("open")) for k in KINDS]
+        counts = labelled.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"), F.array(*tally).alias("kinds"))
+        sure = F.col("n") / (F.col("all") - 0.75 * F.col("open") + 0.5)
+        patterns = counts.select("pattern", "all", F.inline("kinds")).select("pattern", "kind", sure.alias("confidence"), F.col("n").alias("support"))
+        patterns = patterns.where((F.col("support") >= trust.support) & (F.col("confidence") >= trust.pattern))
         patterns = materialise(patterns, "pii-patterns")
         scored = open_.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("confidence"))
-        best = scored.groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("instance", "b.kind", "b.confidence")
+        ranked = F.struct("confidence", (-_place(F.col("kind"))).alias("o"), "kind")
+        best = scored.groupBy("instance").agg(F.max(ranked).alias("b")).select("instance", "b.kind", "b.confidence")
         found = materialise(best.where(F.col("confidence") >= trust.instance), "pii-found")
         known = known.unionByName(found.select("instance", "kind")).groupBy("instance").agg(F.min("kind").alias("kind"))
         known = materialise(known, "pii-known")
@@ -215,6 +251,5 @@ def find(docs: DataFrame, text_col: str = "text", trust: Trust = Trust()) -> Dat
 
 def by_kind(spans: F.Column) -> F.Column:
     """Spans by kind as listed, then start."""
-    place = lambda k: F.array_position(F.array(*(F.lit(x) for x in KINDS)), k)
-    keyed = F.transform(spans, lambda s: F.struct(place(s["kind"]).alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    keyed = F.transform(spans, lambda s: F.struct(_place(s["kind"]).alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     return F.transform(F.sort_array(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
