@@ -6,13 +6,15 @@ its host; lines found in more than `max_docs` distinct documents of one host are
 are removed; a document left with too few words is rejected.
 
 A group of copies must not look like boilerplate to itself, or a whole family of copies would go
-before near-duplicate removal can keep one. Each document therefore carries a sketch (the smallest
-hash of its five-word windows, shared by most near copies), and a line counts as boilerplate only
-if no single sketch holds half of its documents or more.
-
-Defined results: null text is empty; a null host is a host of its own; repeated rows count as
-separate documents (with equal sketches); an empty table gives an empty result; extra columns are
-ignored by `verdicts` and kept by `apply`.
+before near-duplicate removal can keep one. So documents are counted by family. Each carries a sketch, the `SKETCH` smallest
+hashes of its five-word windows. Documents with one sketch are one family, and so are, for a given line, those whose sketch
+shares `ALIKE` of its hashes with the sketch that most of the line's documents have. A line is boilerplate if more than `max_docs` families have
+it: a template whose documents differ in a fifth of their words counts each of them, and one large family does not shield a line that
+many others have too.
+
+Defined results: null text is empty; a null host is a host of its own; repeated rows are one document, as are texts with equal
+sketches; texts without five words have their own hash for a sketch; ties between sketches go to the smaller hash; texts of any length are
+read whole; an empty table gives an empty result; extra columns are ignored by `verdicts` and kept by `apply`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[ \x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+SKETCH = 32
+ALIKE = 0.8
 
 
 def _bare(text: Column) -> Column:
@@ -51,7 +55,11 @@ def text_features(docs: DataFrame, host_col: str = "source") -> DataFrame:
         .otherwise(F.split(_bare(F.col("text")), SPACE_CLASS)).alias("words"),
         _lines(F.col("text")).alias("lines"),
     )
-    w = F.col("words")
+    # Each word is hashed once; windows are hashes of five hashes.
+    hashed = split.select(
+        "doc_id", "host", "text", "lines", F.size("words").alias("n_words"), F.transform("words", lambda x: F.xxhash64(x)).alias("w"),
+    )
+    w = F.col("w")
     windows = F.when(
         F.size(w) >= WINDOW,
         F.transform(
@@ -59,11 +67,12 @@ def text_features(docs: DataFrame, host_col: str = "source") -> DataFrame:
             lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))),
         ),
     ).otherwise(F.array().cast("array<bigint>"))
-    hashed = split.select("doc_id", "host", "text", "lines", F.size(w).alias("n_words"), windows.alias("windows"))
+    hashed = hashed.select("doc_id", "host", "text", "lines", "n_words", windows.alias("windows"))
+    hashed = hashed.withColumn("once", F.array_distinct("windows"))
 
     # Neighbours in hash order tell which windows repeat; only texts that have any pay for the sort.
     ordered = F.when(
-        F.size(F.array_distinct("windows")) < F.size("windows"),
+        F.size("once") < F.size("windows"),
         F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
     sorted_ = hashed.withColumn("ordered", ordered)
@@ -93,7 +102,7 @@ def text_features(docs: DataFrame, host_col: str = "source") -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         covered.cast("bigint").alias("n_repeat_words"),
         line_rows.alias("line_rows"),
-        F.array_min("windows").alias("sketch"),
+        F.when(F.size("once") > 0, F.slice(F.sort_array("once"), 1, SKETCH)).otherwise(F.array(F.xxhash64("text"))).alias("sketch"),
     )
 
 
@@ -101,16 +110,24 @@ def frequent_lines(features: DataFrame, max_docs: int = 20) -> DataFrame:
     """Keys of boilerplate lines. Pre-aggregated twice, by (line, sketch) and then by line, so a
     line held by a third of all documents reaches the second shuffle as one row per sketch."""
     once = features.select(
-        "sketch",
+        F.xxhash64("sketch").alias("family"),
         F.explode(F.array_distinct(F.transform("line_rows", lambda x: x["key"]))).alias("key"),
     )
-    per_sketch = once.groupBy("key", "sketch").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        per_sketch.groupBy("key")
-        .agg(F.sum("n").alias("docs"), F.max("n").alias("most"))
-        .where((F.col("docs") > max_docs) & (2 * F.col("most") < F.col("docs")))
-        .select("key")
-    )
+    held = once.groupBy("key", "family").agg(F.count(F.lit(1)).alias("n"))
+    lines = held.groupBy("key").agg(F.count(F.lit(1)).alias("families"), F.max(F.struct("n", F.bitwise_not("family").alias("f"))).alias("top"))
+    lines = lines.where(F.col("families") > max_docs).select("key", F.bitwise_not("top.f").alias("leader"))
+    lines = materialise(lines, "line-leaders")
+    held = materialise(held.join(lines, "key").select("key", "family", "leader"), "line-families")
+    wanted = held.select("family").union(held.select(F.col("leader").alias("family"))).distinct()
+    sketches = features.select(F.xxhash64("sketch").alias("family"), "sketch").dropDuplicates(["family"]).join(wanted, "family", "left_semi")
+    sketches = materialise(sketches, "line-sketches")
+    # Each sketch meets the leaders of its lines, once a pair.
+    pairs = held.select("family", "leader").distinct()
+    pairs = pairs.join(sketches, "family").join(sketches.select(F.col("family").alias("leader"), F.col("sketch").alias("other")), "leader")
+    shared = F.size(F.array_intersect("sketch", "other"))
+    strangers = pairs.where(shared < ALIKE * F.greatest(F.size("sketch"), F.size("other"))).select("family", "leader")
+    apart = held.join(strangers, ["family", "leader"]).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return apart.where(F.col("n") + 1 > max_docs).select("key")
 
 
 def verdicts(
@@ -149,27 +166,29 @@ def verdicts(
 def apply(docs: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
     """The kept rows of `docs` with boilerplate lines removed and `n_chars` brought up to date.
 
-    Rows with one doc_id share a verdict: kept if any of them is. A null doc_id is an id of its own.
+    Rows with one doc_id share a verdict: kept if any of them is. A null doc_id is an id of its own. Only documents that
+    change meet the texts; Spark broadcasts their list below its own threshold.
     """
-    found = (
-        verdicts(docs, host_col, **limits)
-        .where("kept")
-        .groupBy("doc_id")
-        .agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("removed", F.array().cast("array<bigint>"))))).alias("__removed"))
-        .withColumnRenamed("doc_id", "__id")
-    )
-    host = F.col(host_col).cast("string")
-    removed = F.col("__removed")
-    clean = F.when(F.size(removed) == 0, F.col(text_col)).otherwise(
+    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = {c: F.col(f"c{docs.columns.index(c)}") for c in docs.columns}
+    src = inner.select(at["doc_id"].alias("doc_id"), at[host_col].cast("string").alias("host"), at[text_col].alias("text"))
+    lines = F.array_distinct(F.flatten(F.collect_list(F.coalesce("removed", F.array().cast("array<bigint>")))))
+    found = verdicts(src, "host", **limits).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), lines.alias("removed"))
+    found = materialise(found.where(~F.col("kept") | (F.size("removed") > 0)), "changed-documents")
+    both = inner.join(found, at["doc_id"].eqNullSafe(found["doc_id"]), "left").where(F.coalesce("kept", F.lit(True)))
+    removed = F.col("removed")
+    clean = F.when(F.size(F.coalesce(removed, F.array().cast("array<bigint>"))) == 0, at[text_col]).otherwise(
         F.array_join(
             F.filter(
-                F.split(text_col, "\n"),
-                lambda x: (_bare(x) == "") | ~F.array_contains(removed, _line_key(x, host)),
+                F.split(at[text_col], "\n"),
+                lambda x: (_bare(x) == "") | ~F.array_contains(removed, _line_key(x, at[host_col].cast("string"))),
             ),
             "\n",
         )
     )
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"])).withColumn(text_col, clean)
+    new = {text_col: clean}
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return kept.drop("__id", "__removed")
+        # An untouched text keeps its count.
+        size = F.length(clean).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.size(F.coalesce(removed, F.array().cast("array<bigint>"))) == 0, at["n_chars"]).otherwise(size)
+    return both.select(*(new.get(c, at[c]).alias(c) for c in docs.columns))

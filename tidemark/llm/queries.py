@@ -171,10 +171,11 @@ ORACLE_SQL: dict[str, str] = {
         win AS MATERIALIZED (SELECT r, unnest(wins) AS w, generate_subscripts(wins, 1) AS i FROM f),
         dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM win) WHERE n > 1),
         cov AS (SELECT r, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM dup) GROUP BY r),
-        sk AS (SELECT r, min(md5(w)) AS s FROM win GROUP BY r),
+        sk AS MATERIALIZED (SELECT f.r, CASE WHEN len(wins) > 0 THEN list_sort(list_distinct(list_transform(wins, lambda x: md5(x))))[1:32] ELSE [md5(text)] END AS s FROM f),
         ln AS MATERIALIZED (SELECT r, host, trim(regexp_replace(lower(l), '[ \\x09-\\x0D]+', ' ', 'g')) AS l FROM (SELECT r, host, unnest(ls) AS l FROM f)),
-        per AS (SELECT host, l, s, count(DISTINCT r) AS n FROM ln LEFT JOIN sk USING (r) GROUP BY host, l, s),
-        freq AS (SELECT host, l FROM per GROUP BY host, l HAVING sum(n) > 20 AND 2 * max(n) < sum(n)),
+        per AS MATERIALIZED (SELECT host, l, s, count(DISTINCT r) AS n FROM ln JOIN sk USING (r) GROUP BY host, l, s),
+        many AS MATERIALIZED (SELECT host, l, arg_max(s, n) AS lead FROM per GROUP BY host, l HAVING count(*) > 20),
+        freq AS (SELECT host, l FROM per JOIN many USING (host, l) WHERE len(list_intersect(s, lead)) < 0.8 * greatest(len(s), len(lead)) GROUP BY host, l HAVING count(*) + 1 > 20),
         gone AS (SELECT r, sum(len(string_split(l, ' '))) AS n, count(DISTINCT l) AS k FROM ln JOIN freq USING (host, l) GROUP BY r),
         base AS (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT) AS word_chars,
                    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
