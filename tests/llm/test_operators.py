@@ -405,11 +405,43 @@ def test_toxicity_finds_the_sentence(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_gradient_and_noisy_or(spark):
+    rng = np.random.default_rng(4)
+    texts = [". ".join(" ".join(f"w{k}" for k in rng.integers(0, 9, 4)) for _ in range(int(rng.integers(1, 5)))) for _ in range(12)]
+    y, sents = rng.random(12) < 0.5, [toxicity.sentence_ids(t) for t in texts]
+    per_doc = [np.array([len(s[2]) for s in d]) for d in sents]
+    ids, sizes = np.array([i for d in sents for s in d for i in s[2]]), np.concatenate(per_doc)
+    data = (y, ids, np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(12), [len(p) for p in per_doc]), rng.integers(0, 3, 12))
+    w, b, h = rng.normal(0, 0.3, 1 << toxicity.BITS), -1.0, 1e-6
+    gw, gb = toxicity.gradient(w, b, *data)
+    for i in np.unique(ids)[:10]:
+        up, down = w.copy(), w.copy()
+        up[i], down[i] = w[i] + h, w[i] - h
+        assert gw[i] == pytest.approx((toxicity.loss(up, b, *data) - toxicity.loss(down, b, *data)) / (2 * h), abs=1e-5)
+    assert gb == pytest.approx((toxicity.loss(w, b + h, *data) - toxicity.loss(w, b - h, *data)) / (2 * h), abs=1e-5)
+    model = toxicity.Model(w.astype(np.float32), b)
+    for r in toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect():
+        ps = [1 / (1 + np.exp(-(b + sum(float(model.weights[i]) for i in ids)))) for _, _, ids in toxicity.sentence_ids(r.text)]
+        assert r.score == pytest.approx(1 - np.prod([1 - p for p in ps]))
+        assert [round(s.p, 6) for s in r.sentences] == sorted((round(float(p), 6) for p in ps if p > 0.5), reverse=True)
+
+
+def test_toxicity_labels_that_repeat_or_lack(spark):
+    docs = spark.createDataFrame([(i, f"fine words {i}" + " awfulword" * (i % 2)) for i in range(40)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2 + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, max_train_docs=30)
+    assert {r.score > 0.5 for r in toxicity.score(docs.where("doc_id % 2 = 1"), model).collect()} == {True}
+    assert toxicity.train(docs, labels.limit(0)).bias == -3.0
+    assert toxicity.train(docs, labels.where("doc_id < 0")).bias == -3.0
+
+
 def test_toxicity_held_out(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     out = queries.op8_toxic_sentences(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     pos, neg = [r.score for r in out if r.toxic], [r.score for r in out if not r.toxic]
-    assert np.mean([p > n for p in pos for n in neg]) > 0.9
+    assert np.mean([p > n for p in pos for n in neg]) > 0.95
+    # Six of the 97 toxic documents hold no word or stem that tells.
+    assert np.mean([p >= 0.5 for p in pos]) >= 0.85 and np.mean([n >= 0.5 for n in neg]) <= 0.01
 
 
 def test_extra_columns_with_clashing_names(spark, docs):
