@@ -177,16 +177,17 @@ def test_decontamination(spark):
     rows = [
         (1, "intro words " + BENCH[0][1] + " outro"), (2, "Intro: " + " ".join(edited).upper()), (3, "clean text of no item " * 30),
         (4, None), (5, ""), (6, "x " * 3000 + BENCH[3][1] + " y" * 3000), (6, "x " * 3000 + BENCH[3][1] + " y" * 3000), (7, "item1 item2 item3 only a few"),
+        (8, "Too short!"), (9, "this is too short to tell"), (10, "so four little words here"), (11, "four little, big words"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    items = spark.createDataFrame(BENCH, "item_id long, text string")
+    items = spark.createDataFrame([*BENCH, BENCH[0], (5, "four little words")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, round(r.score, 3), rows[r.doc_id - 1][1][r.start : r.end] if r.doc_id == 1 else "") for r in decontam.contaminated(docs, items).collect())
-    assert [g[:2] for g in got] == [(1, 1), (2, 1), (6, 4), (6, 4)]
+    assert [g[:2] for g in got] == [(1, 1), (2, 1), (6, 4), (6, 4), (8, 2), (10, 5)]
     assert got[0][2:] == (1.0, BENCH[0][1]) and 0.8 < got[1][2] < 1
-    blocks = decontam.contaminated(docs, items, block_items=1).collect()
+    blocks = decontam.contaminated(docs, items, block_bytes=100).collect()
     assert sorted((r.doc_id, r.item_id, round(r.score, 3)) for r in blocks) == [g[:3] for g in got]
     assert decontam.contaminated(docs.limit(0), items).count() == 0 and decontam.contaminated(docs, items.limit(0)).count() == 0
-    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [3, 4, 5, 7]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [3, 4, 5, 7, 9, 11]
 
 
 def brute_align(a, b):
@@ -204,6 +205,24 @@ def test_alignment_is_smith_waterman():
         assert decontam.align(a, b)[0] == pytest.approx(brute_align(a.tolist(), b.tolist()))
 
 
+def test_edited_items_are_found_as_full_alignment_finds_them(spark):
+    rng = np.random.default_rng(9)
+    vocab = [f"v{i}" for i in (rng.zipf(1.3, 4000) % 700)]
+    items = [(k, " ".join(rng.choice(vocab, 40))) for k in range(30)]
+    docs = []
+    for k, t in items:
+        for share in (0.0, 0.1, 0.2, 0.25):
+            words = [str(rng.choice(vocab)) if rng.random() < share else w for w in t.split()]
+            docs.append((len(docs), " ".join([*rng.choice(vocab, 30), *words, *rng.choice(vocab, 30)])))
+    docs += [(len(docs) + i, " ".join(rng.choice(vocab, 90))) for i in range(60)]
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    coded = {w: i for i, w in enumerate(sorted({w for _, t in [*items, *docs] for w in t.split()}))}
+    code = lambda t: np.array([coded[w] for w in t.split()])
+    want = {(d, k): s for d, t in docs for k, i in items if (s := decontam.align(code(i), code(t))[0]) >= 0.5}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
+    assert sum(abs(got[p] - want[p]) > 1e-9 for p in got) <= 0.03 * len(got)
+
+
 def test_trigram_queries():
     q = secret_scan.trigram_query(secret_scan.BASE_RULES[0].pattern)
     assert q[0] == "or" and "tok" in secret_scan.trigrams_of(q)
@@ -225,6 +244,15 @@ def brute_secrets(t):
     return ",".join(s for _, _, s in sorted(out))
 
 
+def test_postings_name_the_texts_that_have_a_trigram():
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abkiAé\n"), int(rng.integers(0, 12)))).encode() for _ in range(400)]
+    wanted = {"abk", "aki", "kia", "éab", "zzz", "a\nb"}
+    got = secret_scan.build_postings(texts, wanted)
+    assert {g: p.tolist() for g, p in got.items()} == {g: [i for i, t in enumerate(texts) if g.encode() in t.lower()] for g in wanted}
+    assert secret_scan.build_postings([], {"abc"})["abc"].tolist() == []
+
+
 def test_secrets(docs, empty):
     for r in secret_scan.scan(docs).collect():
         base = [s for s in r.secrets if s.kind in ("assign", "access", "hex")]
@@ -234,6 +262,22 @@ def test_secrets(docs, empty):
     assert "AKIAABC" not in clean[12] and "[SECRET]" in clean[12] and clean[11] == TEXTS[11] and clean[0] is None
 
 
+def test_foreign_archives(spark, tmp_path):
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nX-Record-Key: abc\r\n\r\nbody"
+    arc = warc.arc_block(1) + b"http://a 10.0.0.7 2020-1 text/html %d\n" % len(http) + http + b"\nno header line\nhttp://b 1.1.1.1 \xff\xfe text/plain 5\nplain\nhttp://c 1.1.1.1 20200101 x 900\nshort"
+    (tmp_path / "x.arc.gz").write_bytes(gzip.compress(arc))
+    out = warc.convert(spark, [str(tmp_path)])
+    got = {r.url: r for r in warc.read_warc(spark, out).collect()}
+    assert {u: (r.record_type, r.key, r.payload_bytes, r.problem) for u, r in got.items()} == {
+        "http://a": ("response", None, 4, "date"), "http://b": ("resource", None, 5, "date"), "http://c": ("resource", None, 5, "length"),
+    }
+    whole = b"".join(gzip.decompress(bytes(r.content)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(out).collect())
+    assert b"WARC-Type: warcinfo" in whole and b"WARC-IP-Address: 10.0.0.7" in whole and b"X-Declared-Content-Type: text/html" in whole
+    assert [h["warc-type"] for h, _ in warc.parse_warc(b"WARC/1.1\r\nWARC-Type: x\r\n\r\njunk" + whole)].count("x") == 0
+
+
 @pytest.fixture(scope="module")
 def tok():
     from tokenizers import Tokenizer
@@ -380,6 +424,7 @@ def test_arc_to_warc(spark):
         else:
             assert r.record_type == "response"
     assert warc.iso_date("20200102030405") == "2020-01-02T03:04:05Z"
+    assert warc.iso_date("2020") == "2020-01-01T00:00:00Z" and warc.iso_date("2020-1") is None and warc.iso_date("20201301") is None
     none = warc.write_arc(df.limit(0), 1)
     assert warc.read_warc(spark, warc.convert(spark, [none])).count() == 0
 
@@ -446,7 +491,7 @@ def test_toxicity_held_out(spark, sf):
 
 def test_extra_columns_with_clashing_names(spark, docs):
     """Columns that operators make themselves, or use inside, may be there already."""
-    names = ["secrets", "hits", "score", "sentences", "base", "occ", "row", "fp", "component_id", "words", "lines", "kept", "removed", "host", "id", "key", "block", "k", "n", "length", "start", "sequence_id", "odd.name"]
+    names = ["secrets", "hits", "score", "sentences", "base", "occ", "row", "fp", "component_id", "words", "lines", "kept", "removed", "host", "id", "key", "block", "k", "n", "length", "start", "sequence_id", "odd.name", "__id", "__removed", "__clean", "__hits", "__class", "__salt", "clean", "changed", "c0", "salt", "class", "slot"]
     wide = docs.select("*", *(F.lit("x").alias(n) for n in names))
     n = docs.count()
     assert line_quality.verdicts(wide).count() == simhash.near_duplicates(wide).count() == lm_score.score(wide).count() == pii.find(wide).count() == n

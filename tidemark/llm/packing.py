@@ -9,11 +9,13 @@
    count. What the counts leave over is packed greedily, largest first, class by class with
    multiplicity, so the plan's length depends on the classes and not on the documents.
 4. Deal pieces into the plan's slots: the rank of a piece in its class names its pattern, copy
-   and slot. Ranks come from many small windows (class x salt) plus their offsets, so a class
+   and slot. Ranks come from many small windows (class x salt, as many salts as the class's count needs) plus their offsets, so a class
    that holds most pieces does not land in one task. Offsets are running sums in a sequence.
 
 Defined results: null or empty text is the end token alone; repeated rows are packed as often as
-they occur; an empty table gives an empty result; ties in a class are broken by document.
+they occur; a doc_id that is no integer becomes null; a very long text is cut into pieces of the window; an empty table gives an empty
+result; ties in a class are broken by a hash of the row's number; other columns of the documents are ignored, those of pieces are kept,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -124,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, text_col:
             types = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, schema)
 
 
@@ -221,44 +223,50 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]], units: int) -> list[tupl
     return [tuple(np.array(col, np.int64) for col in zip(*r, strict=True)) if r else () for r in runs]
 
 
-def pack(parts: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, salts: int = 64) -> DataFrame:
+def pack(parts: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, salt_rows: int = 100_000) -> DataFrame:
     """`parts` (doc_id, start, length and more) with sequence_id and offset.
 
-    `parts` is read three times (histogram, ranks, result), so it should be a written table.
+    A class of n pieces is ranked in n / salt_rows windows, about. The pieces are written once with a number each, so that rows that repeat
+    are apart and every reading deals them alike.
     """
     units = window // grain
-    klass = F.ceil(F.col("length") / grain).cast("int")
-    rows = parts.withColumn("__class", klass).withColumn("__salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
-    counts = rows.groupBy("__class", "__salt").agg(F.count(F.lit(1)).alias("n")).collect()  # window / grain x salts at most
+    names = parts.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    length = F.col(inner[names.index("length")])
+    rows = parts.toDF(*inner).withColumn("class", F.ceil(length / grain).cast("int")).withColumn("row", F.monotonically_increasing_id())
+    rows = materialise(rows, "pieces")
     histogram = np.zeros(units + 1, np.int64)
-    grid = np.zeros((units + 1, salts), np.int64)
-    for r in counts:
-        histogram[r["__class"]] += r["n"]
-        grid[r["__class"], r["__salt"]] = r["n"]
-    before = np.cumsum(grid, axis=1) - grid
+    for r in rows.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect():  # window / grain rows
+        histogram[r["class"]] = r["n"]
+    salts = np.maximum(1, -(-histogram // salt_rows))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.element_at(F.lit(salts.tolist()), F.col("class") + 1)))
+    before: list[np.ndarray] = [np.zeros(k, np.int64) for k in salts]
+    for r in salted.groupBy("class", "salt").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each salt_rows pieces
+        before[r["class"]][r["salt"]] = r["n"]
+    before = [np.cumsum(n) - n for n in before]
     slots = _slots(plan(histogram, depth), units)
-    names = [f.name for f in parts.schema.fields]
-    ranked = rows.withColumn("__rank", F.row_number().over(W.partitionBy("__class", "__salt").orderBy("doc_id", "start")) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("class", "salt").orderBy("row")) - 1).drop("row")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c, salt, rank = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("__class", "__salt", "__rank"))
-            rank = before[c, salt] + rank
+            c, salt, rank = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("class", "salt", "rank"))
             seq, slot = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
             for k in np.unique(c):
                 on = np.flatnonzero(c == k)
+                at = before[k][salt[on]] + rank[on]
                 begin, first, place_ = slots[k]
-                run = np.searchsorted(begin, rank[on], "right") - 1
-                seq[on], slot[on] = first[run] + rank[on] - begin[run], place_[run]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(seq), pa.array(slot)], names=[*names, "sequence_id", "__slot"])
+                run = np.searchsorted(begin, at, "right") - 1
+                seq[on], slot[on] = first[run] + at - begin[run], place_[run]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in inner), pa.array(seq), pa.array(slot)], names=[*inner, "sequence", "slot"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id bigint, __slot bigint"
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, parts.schema.fields, strict=True)) + ", sequence bigint, slot bigint"
     placed = ranked.mapInArrow(place, schema)
-    run = W.partitionBy("sequence_id").orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(run), F.lit(0)).cast("bigint")).drop("__slot")
+    run = W.partitionBy("sequence").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("offset", F.coalesce(F.sum(length).over(run), F.lit(0)).cast("bigint"))
+    kept = [F.col(i).alias(n) for i, n in zip(inner, names, strict=True) if n not in ("sequence_id", "offset")]
+    return placed.select(*kept, F.col("sequence").alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text", with_ids: bool = False, **shape) -> DataFrame:
     """Tokenise, cut and pack: one row per piece with its sequence and offset."""
-    cut = materialise(pieces(docs, tokenizer_path, shape.get("window", WINDOW), text_col, with_ids), "pieces")
-    return pack(cut, **shape)
+    return pack(pieces(docs, tokenizer_path, shape.get("window", WINDOW), text_col, with_ids), **shape)

@@ -95,10 +95,12 @@ def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(2)) == 1
     arcs = [warc.write_arc(pages.where(odd), 1), warc.write_arc(pages.where(~odd), 2)]
     records = materialise(warc.read_warc(spark, warc.convert(spark, arcs)), "warc-records")
-    firsts = records.select(F.col("id").alias("refers_id"), F.col("key").alias("refers_to"))
-    return records.join(firsts, "refers_id", "left").select(
-        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+    # Only revisits look for the page of their response; all other rows have no key to join on.
+    revisits = records.where("refers_id IS NOT NULL")
+    wanted = revisits.select(F.col("refers_id").alias("wanted")).distinct()
+    firsts = records.where("refers_id IS NULL").join(wanted, F.col("id") == F.col("wanted")).select(F.col("wanted").alias("refers_id"), F.col("key").alias("refers_to"))
+    rows = records.where("refers_id IS NULL").withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(revisits.join(firsts, "refers_id", "left"))
+    return rows.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

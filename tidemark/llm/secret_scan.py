@@ -7,8 +7,11 @@ rules ask for, the queries intersect and unite postings, and only the candidates
 with the regular expression. A rule without mandatory trigrams (plain hex runs) scans all.
 Shards are independent, so the job is map-only: no shuffle, no skew, no state to lose.
 
+The index of a shard lives as long as its batch: a kept one would have to be read beside every text that it names.
+
 Defined results: null text is empty; spans are code points, end exclusive, leftmost and
-non-overlapping per kind, ordered by start and then kind; repeated rows each get their own spans.
+non-overlapping per kind, ordered by start and then kind; repeated rows each get their own spans; texts of any length are read whole;
+an empty table gives an empty result; a column named like the one that is added is replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -62,6 +65,8 @@ RULES = BASE_RULES + EXTRA_RULES
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
+#: Bytes of text whose trigrams are looked up at a time.
+_SLICE = 4_000_000
 #: A literal set larger than this is cut into two shorter ones.
 _MOST_LITERALS = 16
 
@@ -146,9 +151,40 @@ def trigrams_of(query: object) -> set[str]:
 
 
 def build_postings(texts: list[bytes], wanted: set[str]) -> dict[str, np.ndarray]:
-    """Postings of one shard, for the trigrams that the rule set asks about."""
-    lowered = [t.lower() for t in texts]
-    return {g: np.fromiter((i for i, t in enumerate(lowered) if b in t), np.int64) for g in wanted for b in [g.encode()]}
+    """Postings of one shard (trigram -> sorted ordinals of the texts that have it), for the trigrams that the rule set asks about.
+
+    One pass over the shard's trigrams, `_SLICE` bytes at a time: each is looked up by its code.
+    """
+    names = sorted(wanted)
+    number = np.zeros(1 << 24, np.uint8 if len(names) < 256 else np.uint16)
+    for k, g in enumerate(names):
+        if len(g.encode()) == 3:
+            number[int.from_bytes(g.encode(), "big")] = k + 1
+    found = [np.zeros((0, 2), np.int64)]
+    part: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        part.append(i)
+        size += len(t)
+        if size >= _SLICE or i + 1 == len(texts):
+            # A line end between texts is part of no trigram asked for.
+            raw = np.frombuffer(b"\n\n".join(texts[j] for j in part).lower(), np.uint8).astype(np.uint32)
+            if len(raw) > 2:
+                kind = number[raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]]
+                at = np.flatnonzero(kind)
+                ends = np.cumsum([len(texts[j]) + 2 for j in part])
+                pairs = np.stack([kind[at].astype(np.int64) - 1, np.array(part)[np.searchsorted(ends, at, "right")]], axis=1)
+                found.append(np.unique(pairs, axis=0))
+            part, size = [], 0
+    pairs = np.concatenate(found)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    cuts = np.searchsorted(pairs[:, 0], np.arange(len(names) + 1))
+    postings = {g: pairs[cuts[k] : cuts[k + 1], 1] for k, g in enumerate(names)}
+    # A trigram of wider characters has no code of three bytes; it is looked for as it is.
+    for g in names:
+        if len(g.encode()) != 3:
+            postings[g] = np.fromiter((i for i, t in enumerate(texts) if g.encode() in t.lower()), np.int64)
+    return postings
 
 
 def candidates(query: object, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
@@ -198,14 +234,16 @@ def mask(text: str, spans: list[dict], token: str = "[SECRET]") -> str:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """`docs` with every secret masked in place and `n_chars` brought up to date; no row is dropped."""
-    names = docs.columns
+    names, clean = docs.columns, "clean"
+    while clean in names:
+        clean += "_"
     made = append_columns(
         docs,
         [text_col],
-        [T.StructField("__clean", T.StringType())],
+        [T.StructField(clean, T.StringType())],
         lambda texts: [[t if not f else mask(t, f) for t, f in zip(texts, scan_shard(texts, rules), strict=True)]],
     )
-    new = {text_col: F.col("__clean")}
+    new = {text_col: F.col(clean)}
     if "n_chars" in names:
-        new["n_chars"] = F.length("__clean").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.length(clean).cast(docs.schema["n_chars"].dataType)
     return made.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names))

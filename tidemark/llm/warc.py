@@ -12,8 +12,14 @@ Files are written by Spark's own writer to the shared folder (one row is one arc
 a few rows a file), so a lost executor's files are written again and any store that Spark reaches will do.
 Payloads are shuffled once, when records meet their decision; the decision itself is made on digests, pre-aggregated.
 
+Foreign archives: the record's address and declared content type go on into the WARC record; a version block becomes a warcinfo record; a key
+header that is no 64-bit integer is a null key; a date that is not a real instant is 1970-01-01 and the record is marked as a problem, which
+`read_arc` tells in its column `problem` and the WARC record in `X-Problem`; so is a block that ends before its declared length. A WARC record without
+a length has none to go by: reading goes on at the next record. A payload that does not match its digest is marked as well.
+
 Defined results: null payload or URL is empty; a null key sorts after all others; equal keys are ordered by
-place in the archive; empty input writes and reads nothing; a header line that does not parse is skipped up to the next line.
+place in the archive; empty input writes and reads nothing; a header line that does not parse is skipped up to the next line; a page that is larger
+than a member is a member of its own, held whole by one task; other columns of the pages are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -90,8 +97,8 @@ def write_arc(pages: DataFrame, version: int, key: str = "page_id", url: str = "
     return path
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, bytes], bytes]]:
-    """(offset, header fields, block) of every record; version blocks switch the header's fields."""
+def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, bytes], bytes, bool]]:
+    """(offset, header fields, block, whole) of every record and version block; version blocks switch the header's fields."""
     fields, at = ARC_FIELDS[1], 0
     while at < len(data):
         end = data.find(b"\n", at)
@@ -109,8 +116,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, bytes], bytes]]:
         block = data[end + 1 : end + 1 + length]
         if version_block:
             fields = ARC_FIELDS[2 if block[:1] == b"2" else 1]
-        else:
-            yield at, dict(zip(names, parts, strict=True)), block
+        yield at, dict(zip(names, parts, strict=True)), block, len(block) == length
         at = end + 1 + length
         if data[at : at + 1] == b"\n":
             at += 1
@@ -134,16 +140,26 @@ def record_id(url: str, date: str, file: str, offset: int, digest: str) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {file}:{offset} {digest}')}"
 
 
-def iso_date(stamp: str) -> str:
+def iso_date(stamp: str) -> str | None:
+    """ISO form of a stamp of up to 14 digits, missing ones at their start; None if it names no instant."""
     s = (stamp + "00000101000000"[len(stamp) :])[:14]
-    return f"{s[:4]}-{s[4:6]}-{s[6:8]}T{s[8:10]}:{s[10:12]}:{s[12:14]}Z"
+    try:
+        return datetime.strptime(s, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ") if re.fullmatch("[0-9]{4,14}", stamp) else None
+    except ValueError:
+        return None
+
+
+def _key(raw: bytes | None) -> int | None:
+    found = re.fullmatch(rb"[+-]?[0-9]{1,19}", (raw or b"").strip())
+    n = int(found[0]) if found else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
 
 
 def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(paths).select("path", "content")
 
 
-_RECORD = "file string, offset bigint, key bigint, id string, url string, date string, type string, payload_bytes bigint, payload_digest string"
+_RECORD = "file string, offset bigint, key bigint, id string, url string, date string, type string, payload_bytes bigint, payload_digest string, ip string, content_type string, problem string"
 
 
 def read_arc(spark: SparkSession, paths: list[str], with_block: bool) -> DataFrame:
@@ -153,13 +169,15 @@ def read_arc(spark: SparkSession, paths: list[str], with_block: bool) -> DataFra
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 name, rows, size = path.rsplit("/", 1)[-1], [], 0
-                for offset, head, block in parse_arc(gzip.decompress(content)):
-                    http, payload = split_http(block)
+                for offset, head, block, whole in parse_arc(gzip.decompress(content)):
+                    info = head["url"].startswith(b"filedesc://")
+                    http, payload = (b"", block) if info else split_http(block)
                     digest = hashlib.sha256(payload).hexdigest()
-                    url, date = head["url"].decode("utf-8", "replace"), iso_date(head["date"].decode())
-                    key = http_field(http, KEY_HEADER)
-                    kind = "response" if http else "resource"
-                    rows.append((name, offset, int(key) if key else None, record_id(url, date, name, offset, digest), url, date, kind, len(payload), digest, *([block] if with_block else [])))
+                    url, stamp, ip, declared = (head[f].decode("utf-8", "replace") for f in ("url", "date", "ip", "type"))
+                    date = iso_date(stamp)
+                    problem = ", ".join(w for w, bad in (("date", date is None), ("length", not whole)) if bad) or None
+                    kind = "warcinfo" if info else "response" if http else "resource"
+                    rows.append((name, offset, _key(http_field(http, KEY_HEADER)), record_id(url, stamp, name, offset, digest), url, date or "1970-01-01T00:00:00Z", kind, len(payload), digest, ip, declared, problem, *([block] if with_block else [])))
                     size += len(block)
                     if size >= MEMBER_BYTES:
                         yield _batch(rows, with_block)
@@ -180,19 +198,20 @@ def decide(records: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """(file, offset, refers_id, refers_url, refers_date) of the records that revisit another."""
     order = F.struct(F.col("key").isNull().alias("n"), "key", "file", "offset", "id", "url", "date")
     first = (
-        records.where(F.col("payload_bytes") >= min_revisit)
+        records.where((F.col("payload_bytes") >= min_revisit) & (F.col("type") != "warcinfo"))
         .groupBy("payload_digest")
         .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
         .select("payload_digest", F.col("first.id").alias("refers_id"), F.col("first.url").alias("refers_url"), F.col("first.date").alias("refers_date"))
     )
-    return records.join(first, "payload_digest").where("id <> refers_id").select("file", "offset", "refers_id", "refers_url", "refers_date")
+    return records.where("type <> 'warcinfo'").join(first, "payload_digest").where("id <> refers_id").select("file", "offset", "refers_id", "refers_url", "refers_date")
 
 
 def warc_record(r: dict) -> bytes:
     """One record, without the last line end (the writer's)."""
     block, kind = r["block"], r["type"]
-    lines = [("WARC-Record-ID", f"<{r['id']}>"), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["url"]), ("WARC-Payload-Digest", f"sha256:{r['payload_digest']}")]
+    lines = [("WARC-Record-ID", f"<{r['id']}>"), ("WARC-Date", r["date"]), ("WARC-Payload-Digest", f"sha256:{r['payload_digest']}")]
+    lines += [("WARC-Filename", r["file"])] if kind == "warcinfo" else [("WARC-Target-URI", r["url"])]
     if r["refers_id"]:
         kind, block = "revisit", split_http(block)[0]
         lines += [
@@ -201,9 +220,12 @@ def warc_record(r: dict) -> bytes:
             ("WARC-Refers-To-Target-URI", r["refers_url"]),
             ("WARC-Refers-To-Date", r["refers_date"]),
         ]
+    lines += [("WARC-IP-Address", r["ip"])] if r["ip"] not in ("", "-", "0.0.0.0") else []
+    lines += [("X-Declared-Content-Type", r["content_type"])] if r["type"] == "response" else []
+    lines += [("X-Problem", r["problem"])] if r["problem"] else []
     lines += [
         ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
-        ("Content-Type", "application/http;msgtype=response" if r["type"] == "response" else "application/octet-stream"),
+        ("Content-Type", "application/http;msgtype=response" if r["type"] == "response" else r["content_type"]),
         ("Content-Length", str(len(block))),
     ]
     head = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), *lines])
@@ -237,13 +259,16 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         head = {}
         for line in data[at:cut].split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
-            head[name.decode().lower()] = value.strip().decode("utf-8", "replace")
-        length = int(head["content-length"])
-        yield head, data[cut + 4 : cut + 4 + length]
-        at = cut + 4 + length
+            head[name.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        length = head.get("content-length", "")
+        if not re.fullmatch("[0-9]+", length):
+            at = cut + 4
+            continue
+        yield head, data[cut + 4 : cut + 4 + int(length)]
+        at = cut + 4 + int(length)
 
 
-_READ = "id string, refers_id string, record_type string, url string, date string, key bigint, payload_bytes bigint, payload_digest string"
+_READ = "id string, refers_id string, record_type string, url string, date string, key bigint, payload_bytes bigint, payload_digest string, problem string"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -256,14 +281,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for head, block in parse_warc(gzip.decompress(content)):
                     http, payload = split_http(block)
-                    key = http_field(http, KEY_HEADER)
-                    if head["warc-type"] == "revisit":
-                        size, digest = int(http_field(http, "Content-Length") or 0), head["warc-payload-digest"].removeprefix("sha256:")
+                    kind, told, problem = head.get("warc-type", ""), head.get("warc-payload-digest", "").removeprefix("sha256:"), head.get("x-problem")
+                    if kind == "warcinfo":
+                        continue
+                    if kind == "revisit":
+                        size, digest = _key(http_field(http, "Content-Length")) or 0, told
                     else:
                         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                        if head["warc-payload-digest"] != f"sha256:{digest}":
-                            raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
-                    rows.append((strip(head["warc-record-id"]), strip(head.get("warc-refers-to")), head["warc-type"], head["warc-target-uri"], head["warc-date"], int(key) if key else None, size, digest))
+                        if told != digest:
+                            problem = ", ".join(filter(None, [problem, "digest"]))
+                    rows.append((strip(head.get("warc-record-id")), strip(head.get("warc-refers-to")), kind, head.get("warc-target-uri"), head.get("warc-date"), _key(http_field(http, KEY_HEADER)), size, digest, problem))
                 if rows:
                     names = [f.split()[0] for f in _READ.split(", ")]
                     types = [{"bigint": pa.int64(), "string": pa.string()}[f.split()[1]] for f in _READ.split(", ")]
