@@ -119,7 +119,7 @@ def frequent_lines(features: DataFrame, max_docs: int = 20) -> DataFrame:
     lines = materialise(lines, "line-leaders")
     held = materialise(held.join(lines, "key").select("key", "family", "leader"), "line-families")
     wanted = held.select("family").union(held.select(F.col("leader").alias("family"))).distinct()
-    sketches = features.select(F.xxhash64("sketch").alias("family"), "sketch").dropDuplicates(["family"]).join(wanted, "family", "left_semi")
+    sketches = features.select(F.xxhash64("sketch").alias("family"), "sketch").join(wanted, "family", "left_semi").dropDuplicates(["family"])
     sketches = materialise(sketches, "line-sketches")
     # Each sketch meets the leaders of its lines, once a pair.
     pairs = held.select("family", "leader").distinct()
@@ -166,15 +166,15 @@ def verdicts(
 def apply(docs: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
     """The kept rows of `docs` with boilerplate lines removed and `n_chars` brought up to date.
 
-    Rows with one doc_id share a verdict: kept if any of them is. A null doc_id is an id of its own. Only documents that
-    change meet the texts; Spark broadcasts their list below its own threshold.
+    Rows with one doc_id share a verdict: kept if any of them is. A null doc_id is an id of its own. The list of documents that change
+    grows faster than the corpus at first (more lines pass the limit), so it meets the texts in one shuffle at every size.
     """
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = {c: F.col(f"c{docs.columns.index(c)}") for c in docs.columns}
     src = inner.select(at["doc_id"].alias("doc_id"), at[host_col].cast("string").alias("host"), at[text_col].alias("text"))
     lines = F.array_distinct(F.flatten(F.collect_list(F.coalesce("removed", F.array().cast("array<bigint>")))))
     found = verdicts(src, "host", **limits).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), lines.alias("removed"))
-    found = materialise(found.where(~F.col("kept") | (F.size("removed") > 0)), "changed-documents")
+    found = materialise(found.where(~F.col("kept") | (F.size("removed") > 0)), "changed-documents").hint("merge")
     both = inner.join(found, at["doc_id"].eqNullSafe(found["doc_id"]), "left").where(F.coalesce("kept", F.lit(True)))
     removed = F.col("removed")
     clean = F.when(F.size(F.coalesce(removed, F.array().cast("array<bigint>"))) == 0, at[text_col]).otherwise(
