@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import blobs, times, urls
 from tidemark.functions import vectors as VF
-from tidemark.operators import browse, documents, extract, ledger, merge, render, triage, vectors
+from tidemark.operators import browse, documents, extract, ledger, merge, triage, vectors
 from tidemark.sources import archive
 
 UTC = datetime.UTC
@@ -241,43 +241,17 @@ def test_extraction(spark):
     assert extract.extract_comments(df.where("page_id = 1")).count() == 2
 
 
-def test_rendering():
-    ok, gone = {"http://h/a.png": ("ok", "ab")}, {"http://h/a.png": ("withheld", None)}
-    r = lambda raw, images=ok: render.render(raw, images)["html"]
-    assert r("<p>one<br>\n\n<br>two<br>three</p>") == "<p>one</p><p>two<br>three</p>"
-    assert r('<h1>Head</h1><a href="java\tscript:x">t</a><span onclick=x>s</span>') == "<h2>Head</h2><p>ts</p>"
-    assert r('<a href="http://x/">l</a>') == '<p><a href="http://x/" rel="nofollow noreferrer ugc" target="_blank">l</a></p>'
-    link = '<a href="http://h/a.png"><img src="http://h/a.png"></a>'
-    assert '<a href="http://h/a.png" rel="nofollow noreferrer ugc" target="_blank"><img src="/img/ab"' in r(link)
-    assert r(link, gone) == '<p><span class="missing-image">Image not available</span></p>'
-    assert 'original</a>' in r('<img src="//h/z.png">') and "https://h/z.png" in r('<img src="//h/z.png">')
-    assert r("<script>alert(1)</script><style>x</style>&lt;b&gt;'\"") == "<p>&lt;b&gt;&#39;&#34;</p>"
-    assert r("<div>" * 300 + "deep<script>no</script>" + "</div>" * 300) == "<p>deep</p>"
-    assert r("<ul><li>a<br><br>b</li></ul>") == "<ul><li>a<br><br>b</li></ul>"
-
-
-def test_hostile_markup_keeps_to_the_allowed_alphabet():
-    from tidemark.functions.html import parse
-
-    hostile = [
-        "<svg onload=alert(1)>", "<img src=x onerror=alert(1)>", "<img src='http://a/' onerror=x>", "<a href=' javascript:alert(1)'>x</a>", "<a href='data:text/html,x'>x</a>",
-        "<iframe src=http://a></iframe>", "<math><mi>x</mi></math>", "<b><p><a href=http://x onclick=y>q</p></b>", "<!--><script>x</script>-->", "<p style=x class=y id=z>t</p>", "<img src='//a/\"><script>'>",
-    ]
-    seen = set()
-    for h in hostile:
-        for n in parse(render.render(h, {})["html"]).walk():
-            assert n.tag in set(render.KEPT.values()) | {"span"}, h
-            assert set(n.attrs) <= {"href", "rel", "target", "src", "alt", "loading", "class"}, h
-            assert n.attrs.get("href", "http").startswith("http"), h
-            seen.add(n.tag)
-    assert {"a", "p", "span"} <= seen
-
-
-def test_render_job_skips_oversize(spark):
-    df = spark.createDataFrame([(1, "<p>x</p>"), (2, "y" * 40_000), (3, None)], "id long, body_raw string")
-    states = spark.createDataFrame([], "article_id long, source_url string, state string, sha256 string")
-    got = {r.id: r.rendered and r.rendered.html for r in render.render_markup_job(df, states).collect()}
-    assert got == {1: "<p>x</p>", 2: None, 3: None}
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<p>First.</p><p>Second.</p>", "First.\nSecond."), ('one<br data-x="a>b">c &amp; d', "one\nc & d"), ("a<bread>b</bread>c", "a b c"), ("a\n  b\t c", "a b c"),
+        ("a<br/><BR ><br>b", "a\n\nb"), ("<!-- x > y --><script>var t='</p>';</script>t", "t"), ("&lt;b&gt; &#233;&#x1F600; &nosuch; &#0; AT&T", "<b> \xe9\U0001f600 &nosuch; &#0; AT&T"),
+        ("<ul><li>x</li><li>y</li></ul>z", "x\ny\n\nz"), ("", ""), ("<article>in</article>side", "in\tside".replace("\t", " ")),
+    ],
+)
+def test_body_text(spark, html, text):
+    df = spark.createDataFrame([(f"<article>{html}</article><p>after</p>",)], "html string")
+    assert df.select(extract.extract_body_text(F.col("html"))).first()[0] == text
 
 
 def test_vectors(spark):

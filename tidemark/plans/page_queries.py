@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import blobs
-from tidemark.operators import audit, documents, extract, render
+from tidemark.operators import audit, documents, extract
 from tidemark.plans import standins as S
 from tidemark.plans.registry import query
 from tidemark.sources.archive import Snapshots, sink_blob_store
@@ -21,10 +21,17 @@ def page_fields(spark: SparkSession, sf: str) -> DataFrame:
     return S.table(spark, sf, "pages").select("page_id", extract.title_text(html).alias("title"), extract.page_lang(html).alias("lang"), F.length(extract.capture_raw(html)).alias("raw_chars"))
 
 
-@query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1),
-    '(?i)<br(?:\s[^>]*)?/?>|</(?:p|div|li|ul|ol|h[1-6]|tr|table|blockquote|pre)\s*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
-    l AS (SELECT page_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), chr(10)) AS t FROM b)
-    SELECT page_id, md5(trim(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g'))) AS body FROM l""")
+#: Comments, scripts and styles go, other tags become a blank or a line end, entities their characters.
+_BODY_SQL = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<!--.*?-->', ' ', 'g'),
+        '(?is)<script.*?</script\s*>|<style.*?</style\s*>', ' ', 'g') AS t FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '(?i)<br(?:[\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*)?>|</(?:p|div|li|ul|ol|h[1-6]|tr|table|blockquote|pre)\s*>', chr(10), 'g'),
+        '<[/!?a-zA-Z](?:[^>"'']|"[^"]*"|''[^'']*'')*>', ' ', 'g') AS t FROM a),
+    l AS (SELECT page_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), chr(10)) AS t FROM b),
+    body AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS body FROM l)"""
+
+
+@query(_BODY_SQL + "SELECT page_id, md5(body) AS body FROM body")
 def page_body_text(spark: SparkSession, sf: str) -> DataFrame:
     return S.table(spark, sf, "pages").select("page_id", F.md5(extract.extract_body_text(F.col("html"))).alias("body"))
 
@@ -40,10 +47,28 @@ def cited_urls(spark: SparkSession, sf: str) -> DataFrame:
     return audit.cited_image_urls(pages).select("page_id", F.size("cited").alias("cited"))
 
 
-@query(r"""SELECT page_id, trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) <> '' AS titled, true AS parsed FROM pages""")
+@query(_BODY_SQL + r"""SELECT page_id, md5(body) AS body, trim(replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&amp;', '&')) AS title,
+    CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<img\b[^>]*\bsrc="[^"]')) AS INT) AS images FROM body JOIN pages USING (page_id)
+    WHERE contains(html, '<article>')""")
 def extract_articles(spark: SparkSession, sf: str) -> DataFrame:
-    out = extract.extract_articles(S.table(spark, sf, "pages"), extract.PLAIN)
-    return out.select("page_id", (F.coalesce(F.col("article.title"), F.lit("")) != "").alias("titled"), F.col("article").isNotNull().alias("parsed"))
+    """Title, body digest and number of images of every page that is an article."""
+    out = extract.extract_articles(S.table(spark, sf, "pages"), extract.PLAIN).where("article IS NOT NULL")
+    return out.select("page_id", F.md5("article.body").alias("body"), "article.title", F.size("article.images").alias("images"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, coalesce(text, '') AS t FROM conversations)
+    SELECT conv_id AS article_id, turn AS id, CAST(p AS INT) AS position, CAST(p % 4 AS INT) AS depth, turn + 7 AS author_id,
+    nullif(trim(regexp_replace(replace(t, chr(160), ' '), '\s+', ' ', 'g')), '') AS body FROM c WHERE p % 5 <> 3""")
+def extract_comments(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations written as comment markup and read back; every fifth wrapper has no id."""
+    said = lambda t: F.replace(F.replace(F.replace(F.coalesce(t, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\xa0"), F.lit(" "))
+    turns = S.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    wrap = lambda x, i: F.concat(
+        F.lit('<div class="commentWrapper" id="'), F.when(i % 5 == 3, "odd").otherwise(F.concat(F.lit("comment"), x["turn"])), F.lit('"><div style="padding-left: '), i % 4 * 30,
+        F.lit('px"><a href="/en/citizen/profile/'), x["turn"] + 7, F.lit('" title="who">w</a><div class="details"><span>Day 1, 00:00</span><p>'), said(x["text"]), F.lit("</p></div></div></div>"),
+    )
+    pages = turns.select(F.col("conv_id").alias("page_id"), F.array_join(F.transform("turns", wrap), "\n").alias("html"))
+    return extract.extract_comments(pages).select("article_id", "id", "position", "depth", "author_id", "body")
 
 
 @query("""SELECT page_id, 200 + CAST(page_id % 3 AS INT) * 102 AS http, CASE WHEN page_id % 3 = 2 THEN 'missing' WHEN page_id % 3 = 0 AND contains(html, '<article>') THEN 'ok' ELSE 'error' END AS status
@@ -131,13 +156,6 @@ def resolve_author_id(spark: SparkSession, sf: str) -> DataFrame:
     return extract.resolve_author_id(bylines, links)
 
 
-@query()
-def render_pages(spark: SparkSession, sf: str) -> DataFrame:
-    pages = S.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("body_raw"))
-    states = documents.image_map(S.images(spark, sf), S.blobs(spark, sf), S.orders_only(spark, sf))
-    return render.render_markup_job(pages, states).select("id", F.col("rendered").isNotNull().alias("fits"), F.length("rendered.html").alias("chars"))
-
-
 @query("SELECT DISTINCT sha256(text) AS sha256, substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3, 2) AS shard FROM documents")
 def blob_store(spark: SparkSession, sf: str) -> DataFrame:
     """Every text stored by its digest, half of them in a first go; what the second go finds stored it does not write."""

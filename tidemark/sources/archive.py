@@ -31,7 +31,10 @@ def src_pages(spark: SparkSession, path: str, streaming: bool = False, schema: T
 def src_feed(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """(…, pos, article_id) from <item><link> in feed order; the channel's own link is not an item."""
     items = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))
-    ids = F.transform(items, lambda i: F.regexp_extract(i, r"/en/article/[^<\s]*?-?([0-9]+)(?:/[0-9]+/[0-9]+)?\s*</link>", 1))
+    links = F.transform(items, lambda i: F.trim(F.regexp_extract(i, r"(?s)<link>(.*?)</link>", 1)))
+    # The id is the number that ends the path segment after "article"; a page number may follow it.
+    segment = lambda u: F.element_at(F.split(F.split_part(u, F.lit("/article/"), F.lit(2)), "/"), 1)
+    ids = F.transform(links, lambda u: F.regexp_extract(segment(u), "(?:^|-)([0-9]+)$", 1))
     keep = [c for c in feeds.columns if c != xml]
     return feeds.select(*keep, F.posexplode(F.filter(ids, lambda i: i != ""))).select(*keep, "pos", F.col("col").cast("bigint").alias("article_id"))
 
