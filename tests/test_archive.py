@@ -284,11 +284,29 @@ def test_stores(spark, tmp_path):
     snap = archive.Snapshots(spark, str(tmp_path / "snap"))
     assert snap.read() is None and snap.save(spark.range(3), 0) and not snap.save(spark.range(9), 0) and snap.save(spark.range(4), 1)
     assert snap.read().count() == 4
+    other = archive.Snapshots(spark, str(tmp_path / "snap"))
+    other.read()
+    assert snap.save(spark.range(5), 0, "a later stream")
+    with pytest.raises(RuntimeError):
+        other.save(spark.range(6), 5)
+    assert snap.read().count() == 5
     feed = "<rss><link>http://x/en/article/channel-9</link><item><link>http://x/en/article/slug-2797019/1/20</link></item><item><link>http://x/en/article/2797018 </link></item></rss>"
     got = archive.src_feed(spark.createDataFrame([(1, feed)], "page int, xml string")).collect()
     assert [(r.pos, r.article_id) for r in got] == [(0, 2797019), (1, 2797018)]
 
 
+def test_repeated_changes_pick_the_same_row(spark):
+    vec = spark.createDataFrame([(1, [1.0], "m", T0)], "article_id long, embedding array<float>, model string, updated_at timestamp")
+    for rows in ([(1, [2.0]), (1, [3.0])], [(1, [3.0]), (1, [2.0])]):
+        assert merge.save_vectors(vec, spark.createDataFrame(rows, "article_id long, embedding array<float>"), "n", T0).first().embedding == [3.0]
+    late = spark.createDataFrame([(1, [9.0], 1), (1, [2.0], 2)], "article_id long, embedding array<float>, ordinal int")
+    assert merge.save_vectors(vec, late, "n", T0).first().embedding == [2.0]
+    img = spark.createDataFrame([(1, "u", "pending", None, 0, T0)], "article_id long, source_url string, status string, sha256 string, attempts int, checked_at timestamp")
+    for rows in ([(1, "u", "ok", "d"), (1, "u", "error", None)], [(1, "u", "error", None), (1, "u", "ok", "d")]):
+        got = merge.record_image_result(img, spark.createDataFrame(rows, "article_id long, source_url string, status string, sha256 string"), T0).first()
+        assert (got.status, got.attempts) == ("ok", 1)
+
+
 def test_appended_columns_replace_their_namesakes(spark):
     from pyspark.sql import types as T
 

@@ -96,9 +96,17 @@ def seed_missing_queue(vectors: DataFrame, articles: DataFrame) -> DataFrame:
 queue_vectors = seed_missing_queue
 
 
+def last_of(batch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: that of the highest `ordinal` if there is such a column, else the greatest row."""
+    cols = [c for c in batch.columns if c not in (*keys, "ordinal")]
+    order = F.col("ordinal") if "ordinal" in batch.columns else F.struct(*cols)
+    return batch.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("r")).select(*keys, "r.*")
+
+
 def save_vectors(vectors: DataFrame, batch: DataFrame, model: str, as_of: datetime.datetime) -> DataFrame:
     """Vector, model and time for the known ids of a batch (article_id, embedding); unknown ids are ignored."""
-    new = batch.select("article_id", F.col("embedding").alias("__v")).dropDuplicates(["article_id"])
+    ordinal = [c for c in ("ordinal",) if c in batch.columns]
+    new = last_of(batch.select("article_id", "embedding", *ordinal), ["article_id"]).withColumnRenamed("embedding", "__v")
     hit = F.col("__v").isNotNull()
     rows = vectors.join(new, "article_id", "left")
     put = {
@@ -121,7 +129,9 @@ def switch_model(vectors: DataFrame, model: str) -> DataFrame:
 
 def record_image_result(images: DataFrame, results: DataFrame, as_of: datetime.datetime) -> DataFrame:
     """Status, digest and one more attempt by (article, URL); unknown keys are ignored, a missing digest keeps the old one."""
-    new = results.select("article_id", "source_url", F.col("status").alias("__s"), F.col("sha256").alias("__d")).dropDuplicates(["article_id", "source_url"])
+    ordinal = [c for c in ("ordinal",) if c in results.columns]
+    last = last_of(results.select("article_id", "source_url", "status", "sha256", *ordinal), ["article_id", "source_url"])
+    new = last.withColumnsRenamed({"status": "__s", "sha256": "__d"})
     rows = images.join(new, ["article_id", "source_url"], "left")
     hit = F.col("__s").isNotNull()
     put = {

@@ -166,14 +166,16 @@ def blob_store(spark: SparkSession, sf: str) -> DataFrame:
     return early.select("sha256", "shard").unionByName(late.select("sha256", "shard"))
 
 
-@query("SELECT page_id AS article_id, 'ok' AS status, 1 AS attempts, CAST(len(regexp_extract_all(html, '<img')) AS INT) AS images FROM pages")
+@query(_BODY_SQL + """SELECT page_id AS article_id, CASE WHEN contains(html, '<article>') THEN 'ok' ELSE 'error' END AS status, 1 AS attempts,
+    CAST(len(regexp_extract_all(html, '<img')) AS INT) AS images, CASE WHEN contains(html, '<article>') THEN md5(body) END AS body FROM body JOIN pages USING (page_id)""")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """All landed pages through the ingest job; the ledger that it leaves, and the image slots of each article."""
+    """All landed pages through the ingest job; the ledger that it leaves, and the body and image slots of each article."""
     path = f"{sf}/pages.parquet"
     raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/pages.parque[t]")
     landed = raw.select("page_id", "url", F.lit(200).alias("http_status"), "html")
     root = fresh_path(spark, "ingest")
     jobs.stream_ingest(landed, root, f"{root}-state", extract.PLAIN, "<article>").awaitTermination()
     slots = Snapshots(spark, f"{root}/images").read().groupBy("article_id").agg(F.count(F.lit(1)).cast("int").alias("images"))
-    log = Snapshots(spark, f"{root}/ledger").read().join(slots, "article_id", "left")
-    return log.select("article_id", "status", "attempts", F.coalesce("images", F.lit(0)).alias("images"))
+    bodies = Snapshots(spark, f"{root}/articles").read().select(F.col("id").alias("article_id"), F.md5("body").alias("body"))
+    log = Snapshots(spark, f"{root}/ledger").read().join(slots, "article_id", "left").join(bodies, "article_id", "left")
+    return log.select("article_id", "status", "attempts", F.coalesce("images", F.lit(0)).alias("images"), "body")

@@ -82,11 +82,14 @@ class Snapshots:
     """Versions of one table in a folder: `v=<n>` directories and a pointer that is written last.
 
     A version is complete once the pointer table names it; a failed write leaves an unnamed folder
-    behind, and a batch id that its writer has published before is skipped.
+    behind, and a batch id that its writer has published before is skipped. A writer is one run of a stream: name it by the stream's own id,
+    as batch ids start anew with a fresh checkpoint. Saving fails if the table has changed since this object read it, or if
+    another writer published the same version, so no update is lost unseen; the batch then runs again.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._read: int | None = None
 
     def _pointer(self) -> tuple[int, str | None, dict[str, int]]:
         """(version, folder, last batch id of each writer)."""
@@ -98,22 +101,33 @@ class Snapshots:
         return now["version"], now["folder"], {r["writer"]: r["b"] for r in done}
 
     def read(self) -> DataFrame | None:
-        folder = self._pointer()[1]
+        self._read, folder, _ = self._pointer()
         return self.spark.read.parquet(f"{self.path}/{folder}") if folder else None
 
     def save(self, snapshot: DataFrame, batch_id: int = -1, writer: str = "") -> bool:
         version, _, done = self._pointer()
         if 0 <= batch_id <= done.get(writer, -1):
             return False
+        if self._read is not None and version != self._read:
+            raise RuntimeError(f"{self.path} is at version {version}; what is to be saved was made from {self._read}")
         folder = f"v={version + 1}-{uuid.uuid4().hex[:8]}"
         snapshot.write.parquet(f"{self.path}/{folder}")
         row = self.spark.range(1).select(
             F.lit(version + 1).alias("version"), F.lit(folder).alias("folder"), F.lit(writer).alias("writer"), F.lit(batch_id).cast("bigint").alias("batch_id")
         )
         row.write.mode("append").parquet(f"{self.path}/pointer")
+        now, winner, _ = self._pointer()
+        if now == version + 1 and winner != folder:
+            raise RuntimeError(f"another writer published version {now} of {self.path} at the same time")
+        self._read = None
         return True
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps as long as it keeps its checkpoint."""
+    return spark.read.text(f"{checkpoint}/metadata").first()[0]
+
+
 def sink_snapshot(spark: SparkSession, path: str, snapshot: DataFrame, batch_id: int = -1, writer: str = "") -> bool:
     """Publish a snapshot; repeating a batch replaces nothing and duplicates nothing."""
     return Snapshots(spark, path).save(snapshot, batch_id, writer)

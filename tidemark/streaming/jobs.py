@@ -17,7 +17,7 @@ from tidemark.functions.blobs import classify_fetch
 from tidemark.operators import merge
 from tidemark.operators.extract import Profile, extract_articles
 from tidemark.operators.vectors import claim_embeddings, embed_job, valid_vectors
-from tidemark.sources.archive import Snapshots
+from tidemark.sources.archive import Snapshots, stream_id
 from tidemark.sources.shared import fresh_path
 from tidemark.streaming.state import Machine, run_stream
 
@@ -54,15 +54,17 @@ def stream_ingest(pages: DataFrame, root: str, checkpoint: str, profile: Profile
     spark = pages.sparkSession
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        newest = W.partitionBy("page_id").orderBy(F.desc("__order"))
-        once = df.withColumn("__order", F.monotonically_increasing_id()).withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n", "__order")
+        writer = f"ingest {stream_id(spark, checkpoint)}"
+        # Of pages that repeat in a batch the one fetched last counts, else the greatest: the same one if the batch runs again.
+        newest = W.partitionBy("page_id").orderBy(*(F.desc(c) for c in ("fetched_at", "http_status", "html") if c in df.columns))
+        once = df.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
         judged = once.withColumn("__f", classify_fetch(F.col("http_status"), F.col("html"), F.lit(None).cast("string"), marker))
         parsed = extract_articles(judged, profile).persist()
         try:
             ok = F.col("__f.status") == "ok"
             articles = parsed.where(ok & F.col("article").isNotNull()).select(
-                F.col("page_id").alias("id"), "article.title", "article.body", "article.body_raw", "article.author_name", "article.country",
-                "article.published_at", "article.comment_count", F.size("article.comments").alias("n_comments"), "article.images",
+                F.col("page_id").alias("id"), "article.title", "article.body", "article.body_raw", "article.author_id", "article.author_name", "article.country",
+                "article.published_at", "article.e_day", "article.comment_count", F.size("article.comments").alias("n_comments"), "article.images", "article.comments",
                 F.lit(None).cast("timestamp").alias("hidden_at"), F.lit(None).cast("string").alias("lang"),
             )
             good, bad = merge.split_rejects(articles)
@@ -74,23 +76,26 @@ def stream_ingest(pages: DataFrame, root: str, checkpoint: str, profile: Profile
                 "article_id", "position", "source_url", F.lit("pending").alias("status"), F.lit(0).alias("attempts"),
                 F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("timestamp").alias("checked_at"),
             )
-            fresh = good.drop("images")
-            tables = {n: Snapshots(spark, f"{root}/{n}") for n in ("articles", "images", "vectors", "ledger")}
+            said = good.select(F.col("id").alias("article_id"), F.inline("comments")).withColumn("ordinal", F.struct("article_id", "position"))
+            fresh = good.drop("images", "comments")
+            tables = {n: Snapshots(spark, f"{root}/{n}") for n in ("articles", "images", "comments", "vectors", "ledger")}
             old = {n: t.read() for n, t in tables.items()}
             art0 = old["articles"] if old["articles"] is not None else fresh.limit(0)
             img0 = old["images"] if old["images"] is not None else images.limit(0)
             vec0 = old["vectors"] if old["vectors"] is not None else spark.createDataFrame([], "article_id bigint, embedding array<float>, model string, updated_at timestamp")
             art1 = merge.merge_articles(art0, fresh)
-            tables["vectors"].save(merge.queue_vectors(merge.invalidate_vectors(vec0, art0, fresh), art1), batch_id, "ingest")
-            tables["images"].save(merge.merge_images(img0, images), batch_id, "ingest")
+            tables["vectors"].save(merge.queue_vectors(merge.invalidate_vectors(vec0, art0, fresh), art1), batch_id, writer)
+            tables["images"].save(merge.merge_images(img0, images), batch_id, writer)
+            com0 = old["comments"] if old["comments"] is not None else said.drop("ordinal").limit(0)
+            tables["comments"].save(merge.merge_comments(com0, said), batch_id, writer)
             led0 = old["ledger"]
             counted = log.withColumn("attempts", F.lit(1))
             if led0 is not None:
                 before = led0.select("article_id", F.col("attempts").alias("__a"))
                 counted = log.join(before, "article_id", "left").select("article_id", "status", "last_error", (F.coalesce("__a", F.lit(0)) + 1).alias("attempts"))
                 counted = led0.join(log.select("article_id"), "article_id", "left_anti").unionByName(counted)
-            tables["ledger"].save(counted, batch_id, "ingest")
-            tables["articles"].save(art1, batch_id, "ingest")  # last: the vectors' comparison needs the old bodies if the batch runs again
+            tables["ledger"].save(counted, batch_id, writer)
+            tables["articles"].save(art1, batch_id, writer)  # last: the vectors' comparison needs the old bodies if the batch runs again
         finally:
             parsed.unpersist()
 
@@ -114,7 +119,7 @@ def stream_embed(
         queue = vectors.read()
         made = embed_job(claim_embeddings(queue, articles(), limit), make_encoder).withColumn("model", F.lit(model))
         good, _ = valid_vectors(made, model, dims)
-        vectors.save(merge.save_vectors(queue, good, model, as_of), batch_id, "embed")
+        vectors.save(merge.save_vectors(queue, good, model, as_of), batch_id, f"embed {stream_id(vectors.spark, checkpoint)}")
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
