@@ -41,7 +41,17 @@ SEED_WORDS = 3
 _PASS_WORDS = 8_000_000
 #: Words a Python worker remembers; beyond it the memory is emptied.
 _MEMO_WORDS = 300_000
-_memo: dict[bytes, int] = {}
+
+
+class _Memo(dict):
+    """Word to hash; a new word is hashed when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_memo = _Memo()
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 HITS = T.ArrayType(
     T.StructType(
@@ -64,8 +74,6 @@ def hashes_of(text: str | None) -> np.ndarray:
     words = words_of(text)
     if len(_memo) > _MEMO_WORDS:
         _memo.clear()
-    for w in set(words).difference(_memo):
-        _memo[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
 
 
@@ -169,9 +177,10 @@ def _matcher(items: list[tuple[int, np.ndarray]], seeds: tuple[np.ndarray, np.nd
     def windows_of(words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
         g = grams(words)
-        lo, hi = np.searchsorted(gram, g), np.searchsorted(gram, g, "right")
-        for i in np.flatnonzero(hi > lo).tolist():
-            for s in range(int(lo[i]), int(hi[i])):
+        lo = np.searchsorted(gram, g)
+        on = np.flatnonzero(gram[np.minimum(lo, len(gram) - 1)] == g) if len(gram) else lo[:0]
+        for i, first, last in zip(on.tolist(), lo[on].tolist(), np.searchsorted(gram, g[on], "right").tolist(), strict=True):
+            for s in range(first, last):
                 k, at = int(item[s]), i - int(place[s])
                 m = len(items[k][1])
                 if m < min_words:
