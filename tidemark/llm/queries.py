@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, line_quality, lm_score, packing, pii, secret_scan, simhash, toxicity, warc
+from tidemark.llm import chat, decontam, filter_audit, line_quality, lm_score, packing, pii, secret_scan, simhash, token_align, toxicity, warc
 from tidemark.sources.shared import materialise
 
 
@@ -122,11 +122,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pieces = (public_tokenizers.path(n) for n in ("byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))  # the ranks are the vocabulary of byte_bpe_50k.json
+    out = token_align.align(_table(spark, sf_dir, "documents"), ranks, pieces)
+    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_backoff_score, op2_contextual_pii, op3_reply_trees, op4_line_quality, op5_secret_scan,
         op6_nnls_packing, op7_arc_to_warc, op8_toxic_sentences, op9_simhash_groups, op10_decontamination, op1_trigram_score,
+        op11_token_alignment, op13_filter_audit,
     )
 }
 
@@ -196,5 +209,23 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to
         FROM k""",
+    "op13_filter_audit": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_words_sql("text")} AS ws FROM documents),
+        firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        f AS MATERIALIZED (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+                   100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > first, false)] AS fails
+            FROM d JOIN firsts USING (text) LEFT JOIN l USING (doc_id)),
+        cells AS MATERIALIZED (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+        x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+        orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        steps AS MATERIALIZED (SELECT o, s.i AS step, o[s.i] AS own, o[1:s.i - 1] AS before FROM orders, x s),
+        j AS MATERIALIZED (SELECT part, o, step, own, n, good, toxic, fails[own] AS hit, len(list_filter(before, lambda k: fails[k])) > 0 AS gone, len(list_filter(fails, lambda y: y)) AS k FROM cells, steps),
+        r AS (SELECT part, o, step, own, coalesce(sum(n) FILTER (WHERE NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (WHERE hit AND NOT gone), 0) AS removed,
+                   coalesce(sum(n) FILTER (WHERE hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (WHERE hit AND k = 1), 0) AS unique_fails,
+                   coalesce(sum(good) FILTER (WHERE hit AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE hit AND NOT gone), 0) AS toxic_lost FROM j GROUP BY part, o, step, own)
+        SELECT part, array_to_string(list_transform(o, lambda k: chr(CAST(64 + k AS INT))), '') AS filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }
 ORACLE_SQL["op1_trigram_score"] = ORACLE_SQL["op1_backoff_score"]
