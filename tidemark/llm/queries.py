@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, filter_audit, line_quality, lm_score, packing, pii, secret_scan, simhash, token_align, toxicity, warc
+from tidemark.llm import chat, decontam, filter_audit, line_quality, lm_score, nn_descent, packing, pii, secret_scan, simhash, token_align, toxicity, warc
 from tidemark.sources.shared import materialise
 
 
@@ -130,6 +130,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -139,7 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_backoff_score, op2_contextual_pii, op3_reply_trees, op4_line_quality, op5_secret_scan,
         op6_nnls_packing, op7_arc_to_warc, op8_toxic_sentences, op9_simhash_groups, op10_decontamination, op1_trigram_score,
-        op11_token_alignment, op13_filter_audit,
+        op11_token_alignment, op12_nn_descent, op13_filter_audit,
     )
 }
 
