@@ -8,11 +8,11 @@
 3. A list is one row: a node's code, its nearest nodes so far with their codes and scores, and whether each is fresh. Lists begin with the neighbours
    inside short runs of nodes, sorted by the signs of random projections, a few times over.
 4. A round of NN-descent is a join of lists with the lists of their entries: v -> u -> w. Each entry of v is a row that carries v's code; it meets
-   u's list and proposes to v those w that beat v's worst entry, and v itself to u. Only paths with a fresh link are compared. The proposals and the lists are
+   u's list and proposes to v those w that beat v's worst entry, v to u, and v to those w that are closer to it than u's worst entry is to u. Only paths with a fresh link are compared. The proposals and the lists are
    shuffled by node, sorted, and the best are kept. Rounds end when fewer than `settled` of all links change. A node that is in very many lists is a skewed
    key of the join, which AQE splits; its reverse proposals are cut to the best of each batch before they are shuffled, of which only the best can stay.
-5. A search is the same step: a query is a list whose entries, while fresh, are expanded through the graph until none of its `breadth` best is
-   fresh. It starts at the query's own node if it has one, and at a bounded set of entry nodes.
+5. A search is the same step: a query is a list whose entries, while fresh, are expanded through the graph until hardly any (`settled`) of all
+   queries' `breadth` best are fresh. It starts at the query's own node if it has one, and at a bounded set of entry nodes.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id or with another dimension than
 most have (of equally frequent dimensions, the greatest). A repeated id counts once, with its greatest vector. Ties go to the smaller id. With
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.shared import materialise
 
 DEGREE = 24
-BREADTH = 96
+BREADTH = 256
 ENTRIES = 64
 STARTS = 4
 RUN = 64
@@ -54,17 +54,19 @@ class Index(NamedTuple):
     dims: int
 
 
-# Codes: a float32 scale, then one signed byte a component.
+# Codes: two float32, the scale and the added component as it is, then one signed byte for each other component.
 
 
-def encode(vectors: np.ndarray) -> np.ndarray:
+def encode(vectors: np.ndarray, added: np.ndarray) -> np.ndarray:
     """Rows of bytes."""
     scale = np.maximum(np.abs(vectors).max(axis=1), 1e-30).astype(np.float32) / 127
-    return np.concatenate([scale[:, None].view(np.uint8), np.round(vectors / scale[:, None]).astype(np.int8).view(np.uint8)], axis=1)
+    head = np.stack([scale, added.astype(np.float32)], axis=1)
+    return np.concatenate([head.view(np.uint8), np.round(vectors / scale[:, None]).astype(np.int8).view(np.uint8)], axis=1)
 
 
 def decode(codes: np.ndarray) -> np.ndarray:
-    return codes[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(codes[:, :4]).view(np.float32)
+    head = np.ascontiguousarray(codes[:, :8]).view(np.float32)
+    return np.concatenate([codes[:, 8:].view(np.int8) * head[:, :1], head[:, 1:]], axis=1)
 
 
 def _rows(column: pa.Array, width: int) -> np.ndarray:
@@ -135,14 +137,13 @@ def _first_lists(nodes: DataFrame, count: int, top: float, degree: int, seed: in
         for b in batches:
             x = _matrix(b.column(1))
             rest = np.sqrt(np.maximum(top * top - (x * x).sum(axis=1), 0))
-            unit = np.concatenate([x, rest[:, None]], axis=1) / top
-            at = unit @ planes.T
+            at = np.concatenate([x, rest[:, None]], axis=1) @ planes.T
             key = ((at > 0) << np.arange(PLANES)[::-1]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), _binary(encode(unit), np.ones(len(x), np.int64)), pa.array(key, pa.int64())], names=["id", "code", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _binary(encode(x / top, rest / top), np.ones(len(x), np.int64)), pa.array(key, pa.int64())], names=["id", "code", "key"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, codes = b.column(0).to_numpy(), _rows(b.column(1), dims + 5)
+            ids, codes = b.column(0).to_numpy(), _rows(b.column(1), dims + 8)
             for a in range(0, len(ids), RUN):
                 part, c = ids[a : a + RUN], codes[a : a + RUN]
                 unit = decode(c)
@@ -219,20 +220,20 @@ def _proposals(lists: DataFrame, graph: DataFrame, k: int, width: int, reverse:
         row, nbrs, theirs = row[take], nbrs[take], _rows(b.column(11), width)[take]
         score = np.einsum("ij,ij->i", decode(codes)[row], decode(theirs))
         good = np.flatnonzero(score > b.column(2).to_numpy()[row])
-        # The best k for each list of the batch; worse ones could not stay.
-        ids, at = np.unique(own[row[good]], return_inverse=True)
-        keep = _best(at, nbrs[good], score[good], np.ones(len(good), bool), k)
-        chosen = good[keep]
-        if len(ids):
-            yield _lists(ids, None, np.bincount(at[keep], minlength=len(ids)), nbrs[chosen], score[chosen], np.ones(len(chosen), bool), theirs[chosen])
+        yield from best_of(own[row[good]], nbrs[good], score[good], theirs[good])
         if reverse:
+            # Back along both links of a path: u hears of v, and w hears of v if they are closer than u's own worst entry.
             via = b.column(3).to_numpy()
-            good = np.flatnonzero(step & (via > b.column(7).to_numpy()))
-            ids, at = np.unique(u[good], return_inverse=True)
-            keep = _best(at, own[good], via[good], np.ones(len(good), bool), k)
-            chosen = good[keep]
-            if len(ids):
-                yield _lists(ids, None, np.bincount(at[keep], minlength=len(ids)), own[chosen], via[chosen], np.ones(len(chosen), bool), codes[chosen])
+            back, near = np.flatnonzero(step & (via > b.column(7).to_numpy())), np.flatnonzero(score > b.column(7).to_numpy()[row])
+            who = np.concatenate([back, row[near]])
+            yield from best_of(np.concatenate([u[back], nbrs[near]]), own[who], np.concatenate([via[back], score[near]]), codes[who])
+
+    def best_of(owner: np.ndarray, nbrs: np.ndarray, score: np.ndarray, theirs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The best k for each list of the batch; worse ones could not stay."""
+        ids, at = np.unique(owner, return_inverse=True)
+        keep = _best(at, nbrs, score, np.ones(len(at), bool), k)
+        if len(ids):
+            yield _lists(ids, None, np.bincount(at[keep], minlength=len(ids)), nbrs[keep], score[keep], np.ones(len(keep), bool), theirs[keep])
 
     names = [f.split()[0] for f in _MEETING.split(", ")]
     return met.select(*names).mapInArrow(run, _LIST)
@@ -248,7 +249,7 @@ def _grow(lists: DataFrame, graph: DataFrame, k: int, width: int, reverse: bool,
     return out, fresh or 0, links or 0
 
 
-def build(rows: DataFrame, members: int = 21, degree: int = DEGREE, settled: float = 0.002, seed: int = 17, id_col: str = "vec_id", vector_col: str = "embedding") -> Index:
+def build(rows: DataFrame, members: int = 21, degree: int = DEGREE, settled: float = 0.005, seed: int = 17, id_col: str = "vec_id", vector_col: str = "embedding") -> Index:
     """The neighbour graph of all usable vectors."""
     vectors = usable_vectors(rows, id_col, vector_col)
     nodes = materialise(nodes_of(vectors, members), "nodes")
@@ -256,7 +257,7 @@ def build(rows: DataFrame, members: int = 21, degree: int = DEGREE, settled: flo
     count, top, dims = nodes.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("embedding"))).first()
     if not count:
         return Index(vectors, nodes, nodes.sparkSession.createDataFrame([], _LIST), 1.0, 0)
-    width = dims + 5
+    width = dims + 8
     trees = [_first_lists(nodes, count, top, degree, seed + t, dims) for t in range(TREES)]
     rows = trees[0]
     for t in trees[1:]:
@@ -268,7 +269,7 @@ def build(rows: DataFrame, members: int = 21, degree: int = DEGREE, settled: flo
             return Index(vectors, nodes, lists, top, dims)
 
 
-def search(index: Index, queries: DataFrame, k: int, breadth: int = BREADTH) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, breadth: int = BREADTH, settled: float = 0.0005) -> DataFrame:
     """(query_id, rank, vec_id, score) of `queries` (query_id, embedding array<double>, node): the k ids nearest by inner product, the query's own id left out.
 
     `node` is the node to start from beside the entry nodes, null for a vector that is not in the index.
@@ -276,9 +277,11 @@ def search(index: Index, queries: DataFrame, k: int, breadth: int = BREADTH) ->
     spark = queries.sparkSession
     if not index.dims:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dims, width = index.dims, index.dims + 5
-    # At most ENTRIES rows: a fixed sample to start from, whatever the table.
-    entries = index.lists.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).select("id", "code").collect()
+    dims, width = index.dims, index.dims + 8
+    # At most twice ENTRIES rows to start from, whatever the table: a fixed sample, and the longest vectors, near which large products lie.
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    ids = index.nodes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).select("id").union(index.nodes.orderBy(F.desc(norm), "id").limit(ENTRIES).select("id")).distinct()
+    entries = index.lists.select("id", "code").join(F.broadcast(ids), "id").orderBy("id").collect()
     entry_ids, entry_codes = np.array([e[0] for e in entries], np.int64), np.frombuffer(b"".join(bytes(e[1]) for e in entries), np.uint8).reshape(-1, width)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +290,7 @@ def search(index: Index, queries: DataFrame, k: int, breadth: int = BREADTH) ->
             if not b.num_rows:
                 continue
             x = _matrix(b.column(1))
-            x = np.concatenate([x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300), np.zeros((len(x), 1))], axis=1)
-            codes, n = encode(x), len(entry_ids)
+            codes, n = encode(x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300), np.zeros(len(x))), len(entry_ids)
             scores, ids = (decode(codes) @ unit.T).ravel(), b.column(0).to_numpy()
             near = scores.reshape(-1, n) >= np.sort(scores.reshape(-1, n), axis=1)[:, -min(n, STARTS) :][:, :1]  # only the nearest are expanded first
             yield _lists(ids, codes, np.full(len(ids), n), np.tile(entry_ids, len(ids)), scores, near.ravel(), np.tile(entry_codes, (len(ids), 1)))
@@ -301,8 +303,8 @@ def search(index: Index, queries: DataFrame, k: int, breadth: int = BREADTH) ->
     own = own.select("id", F.lit(None).cast("binary").alias("code"), F.array("u").alias("nbrs"), F.array(F.lit(9.0).cast("float")).alias("scores"), F.array(F.lit(True)).alias("fresh"), F.col("c").alias("codes"))
     beams = materialise(_merged(start.unionByName(own), breadth, width), "beams")
     while True:
-        beams, fresh, _ = _grow(beams, index.lists, breadth, width, False, True, "beams")
-        if not fresh:
+        beams, fresh, links = _grow(beams, index.lists, breadth, width, False, True, "beams")
+        if fresh <= settled * links:
             break
 
     hits = beams.select(F.col("id").alias("query_id"), F.explode("nbrs").alias("node")).join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")

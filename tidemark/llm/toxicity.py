@@ -159,7 +159,7 @@ def gradient(w: np.ndarray, bias: float, y: np.ndarray, ids: np.ndarray, sent_of
     clean = np.bincount(doc_of, _softplus(z), minlength=len(y)) + bare * _softplus(bias)
     pull = np.where(y, -1.0 / np.expm1(np.maximum(clean, 1e-9)), 1.0) / len(y)
     gz = pull[doc_of] / (1.0 + np.exp(-z))
-    return np.bincount(ids, gz[sent_of], minlength=len(w)), float(gz.sum() + (pull * bare).sum() / (1.0 + np.exp(-bias)))
+    return np.bincount(ids, gz[sent_of], minlength=len(w)).astype(float), float(gz.sum() + (pull * bare).sum() / (1.0 + np.exp(-bias)))
 
 
 def _telling(zeros: np.ndarray, ones: np.ndarray, n_zeros: int, n_ones: int, min_z: float) -> np.ndarray:
