@@ -1,13 +1,14 @@
 """State machines over clock-driven sequences; batch and stream agree."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.extract import PLAIN
 from tidemark.operators.vectors import hash_encoder
-from tidemark.sources.archive import Snapshots, src_pages
+from tidemark.sources.archive import src_pages
 from tidemark.streaming import jobs, state
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -70,9 +71,10 @@ def test_ingest_and_embed(spark, tmp_path):
     put([(1, "u", 200, page.format("a", "body")), (2, "u", 404, ""), (3, "u", 200, "Just a moment"), (4, "u", 200, "<article")])
     run = lambda: jobs.stream_ingest(src_pages(spark, src, True), root, str(tmp_path / "cp"), PLAIN, "<article").awaitTermination()
     run()
-    read = lambda n: Snapshots(spark, f"{root}/{n}").read()
+    tables = jobs.ingest_tables(spark, root)
+    read = lambda n: tables[n].read()
     assert {r.article_id: r.status for r in read("ledger").collect()} == {1: "ok", 2: "missing", 3: "error", 4: "error"}
-    vecs = Snapshots(spark, f"{root}/vectors")
+    vecs = tables["vectors"]
     ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     q = jobs.stream_embed(ticks, lambda: read("articles"), vecs, lambda: hash_encoder(8), "m", 8, str(tmp_path / "cpe"), T0)
     q.awaitTermination(60)
@@ -84,3 +86,41 @@ def test_ingest_and_embed(spark, tmp_path):
     assert arts[1] == ("a", "a\nanother body") and set(arts) == {1, 5}
     assert {r.article_id: r.attempts for r in read("ledger").collect()}[1] == 2
     assert {(r.article_id, r.source_url, r.status) for r in read("images").collect()} == {(1, "http://h/a.png", "pending"), (5, "http://h/e.png", "pending")}
+
+
+def _fed(spark, tmp_path, batches, column, kind):
+    """A stream that reads one micro-batch for each list of (key, seconds, value)."""
+    path, schema = str(tmp_path / "fed"), f"host string, ts timestamp, seq long, {column} {kind}"
+    n = 0
+    for rows in batches:
+        put = [(k, T0 + datetime.timedelta(seconds=s), n + i, v) for i, (k, s, v) in enumerate(rows)]
+        n += len(put)
+        spark.createDataFrame(put, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.01)  # files are read by age
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_an_opening_ends_by_its_timer(spark, tmp_path):
+    """Nothing more is heard of host a; another host's events move the time on."""
+    feed = _fed(spark, tmp_path, [[("a", 0, True), ("a", 1, True), ("b", 2, False)], [("b", 500, False)], [("b", 5000, False)], [("b", 9000, False)]], "failed", "boolean")
+    out = jobs.drain(spark, jobs.stream_machine(feed, ["host"], state.host_circuit(2, 900), "10 seconds"), "timer").where("host = 'a'").orderBy("ts")
+    rows = [(r.seq is None, r.failures, r.open) for r in out.collect()]
+    assert rows == [(False, 1, False), (False, 2, True), (True, 0, False)]
+    assert out.collect()[-1].ts == T0 + datetime.timedelta(seconds=901, milliseconds=1)
+
+
+def test_a_new_failure_puts_the_timer_off(spark, tmp_path):
+    feed = _fed(spark, tmp_path, [[("a", 0, True), ("a", 1, True)], [("a", 800, True), ("b", 1000, False)], [("b", 1500, False)], [("b", 9000, False)]], "failed", "boolean")
+    out = jobs.drain(spark, jobs.stream_machine(feed, ["host"], state.host_circuit(2, 900), "10 seconds"), "timer").where("host = 'a' AND seq IS NULL").collect()
+    assert [r.ts for r in out] == [T0 + datetime.timedelta(seconds=1700, milliseconds=1)]
+
+
+def test_lapsed_states_are_not_kept(spark, tmp_path):
+    """Every micro-batch brings ten new keys; the rows in the state store stay level."""
+    feed = _fed(spark, tmp_path, [[(f"k{b}-{i}", b * 100 + i, True) for i in range(10)] for b in range(10)], "delivered", "boolean")
+    path = str(tmp_path / "out")
+    q = jobs.stream_machine(feed, ["host"], state.throttle(60), "5 seconds").writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    kept = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in q.recentProgress if p["numInputRows"]]
+    assert len(kept) == 10 and max(kept[5:]) <= max(kept[:5])
+    assert spark.read.parquet(path).where("sent").count() == 100

@@ -9,7 +9,7 @@ from tidemark.functions import blobs
 from tidemark.operators import audit, documents, extract
 from tidemark.plans import standins as S
 from tidemark.plans.registry import query
-from tidemark.sources.archive import Snapshots, sink_blob_store
+from tidemark.sources.archive import sink_blob_store
 from tidemark.sources.shared import fresh_path
 from tidemark.streaming import jobs
 
@@ -175,7 +175,8 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     landed = raw.select("page_id", "url", F.lit(200).alias("http_status"), "html")
     root = fresh_path(spark, "ingest")
     jobs.stream_ingest(landed, root, f"{root}-state", extract.PLAIN, "<article>").awaitTermination()
-    slots = Snapshots(spark, f"{root}/images").read().groupBy("article_id").agg(F.count(F.lit(1)).cast("int").alias("images"))
-    bodies = Snapshots(spark, f"{root}/articles").read().select(F.col("id").alias("article_id"), F.md5("body").alias("body"))
-    log = Snapshots(spark, f"{root}/ledger").read().join(slots, "article_id", "left").join(bodies, "article_id", "left")
+    kept = {n: t.read() for n, t in jobs.ingest_tables(spark, root).items()}
+    slots = kept["images"].groupBy("article_id").agg(F.count(F.lit(1)).cast("int").alias("images"))
+    bodies = kept["articles"].select(F.col("id").alias("article_id"), F.md5("body").alias("body"))
+    log = kept["ledger"].join(slots, "article_id", "left").join(bodies, "article_id", "left")
     return log.select("article_id", "status", "attempts", F.coalesce("images", F.lit(0)).alias("images"), "body")

@@ -248,6 +248,108 @@ def feed_union_distinct(spark: SparkSession, sf: str) -> DataFrame:
 # Streams over the events table; each drains all that is there, and the last state of a key is compared.
 
 
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{sf}/events.parquet"
+    # As a pattern: the stream reader takes a plain path for a directory, and small tables are single files.
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/events.parque[t]")
+    return utc(raw).select(
+        F.col("user_id").alias("article_id"), F.col("event_id").alias("seq"), "ts",
+        F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "stale").when(F.col("event_type") == "signup", "missing").otherwise("ok").alias("outcome"),
+    )
+
+
+@query(f"""WITH {S.EVENTS_SQL} SELECT article_id, status, CAST(attempts AS INT) AS attempts FROM led""")
+def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    out = jobs.drain(spark, jobs.stream_machine(_event_stream(spark, sf), ["article_id"], state.ledger(), "30 days"), "stream-ledger")
+    return jobs.latest(out, ["article_id"]).select("article_id", "status", "attempts")
+
+
+@query("SELECT DISTINCT user_id AS article_id FROM events")
+def stream_feed_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.drain(spark, jobs.stream_feed_dedupe(_event_stream(spark, sf), "60 days"), "stream-feed").select("article_id")
+
+
+def _fold_sql(start: str, step: str) -> str:
+    """A machine in SQL: the events of a key one after the other. `step` gives the columns of `start` from `r` (state) and `e` (event)."""
+    return f"""RECURSIVE {S.EVENTS_SQL}, e AS MATERIALIZED (SELECT article_id, seq, outcome, epoch_us(ts) AS us, row_number() OVER (PARTITION BY article_id ORDER BY ts, seq) AS n FROM ev),
+    r AS (SELECT DISTINCT article_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, {start} FROM e
+          UNION ALL SELECT e.article_id, e.n, e.seq, {step} FROM r JOIN e ON e.article_id = r.article_id AND e.n = r.n + 1)"""
+
+
+_DAY = 86_400_000_000
+_OPEN = f"r.opened IS NOT NULL AND e.us - r.opened <= {_DAY}"
+_COUNT = f"CASE WHEN e.outcome = 'error' THEN 1 + CASE WHEN r.opened IS NULL OR {_OPEN} THEN r.failures ELSE 0 END ELSE 0 END"
+_CIRCUIT_SQL = _fold_sql("0 AS failures, CAST(NULL AS BIGINT) AS opened", f"{_COUNT}, CASE WHEN {_COUNT} >= 2 THEN e.us WHEN {_OPEN} THEN r.opened END")
+
+
+@query(f"""WITH {_CIRCUIT_SQL}, late AS (SELECT max(us) - {_DAY} * 3 AS mark FROM e)
+    SELECT 'h' || article_id AS host, seq, CAST(failures AS INT) AS failures, opened IS NOT NULL AS "open" FROM r WHERE n > 0
+    UNION ALL SELECT 'h' || r.article_id, NULL, 0, false FROM r JOIN (SELECT article_id, max(n) AS n FROM r GROUP BY 1) USING (article_id, n), late WHERE r.opened IS NOT NULL AND ceil((r.opened + {_DAY} + 1) / 1000) <= floor(mark / 1000)""")
+def host_circuit(spark: SparkSession, sf: str) -> DataFrame:
+    """Two failures in a row open a host for a day. Hosts that are still open three days before the end are closed by their timers."""
+    ev = _event_stream(spark, sf).select(F.concat(F.lit("h"), F.col("article_id").cast("string")).alias("host"), "ts", "seq", (F.col("outcome") == "error").alias("failed"))
+    return jobs.drain(spark, jobs.stream_machine(ev, ["host"], state.host_circuit(2, 86_400), "3 days"), "circuit").select("host", "seq", "failures", "open")
+
+
+@query(f"""WITH {S.EVENTS_SQL}, i AS (SELECT *, sum(CASE WHEN outcome = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY article_id ORDER BY ts, seq) AS isle FROM ev)
+    SELECT article_id AS key, seq, CAST(sum(CASE WHEN outcome = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY article_id, isle ORDER BY ts, seq) AS BIGINT) AS run FROM i""")
+def failure_runs(spark: SparkSession, sf: str) -> DataFrame:
+    ev = S.events(spark, sf).select(F.col("article_id").alias("key"), "ts", "seq", (F.col("outcome") == "error").alias("failed"))
+    return ledger.failure_runs(ev).select("key", "seq", "run")
+
+
+@query(f"""WITH {S.EVENTS_SQL} SELECT article_id, changed, CASE WHEN changed THEN 'stale' ELSE status END AS status, CASE WHEN changed THEN 0 ELSE attempts END AS attempts
+    FROM (SELECT *, article_id % 2 = 0 AND status IN ('ok', 'error') AS changed FROM led)""")
+def mark_stale(spark: SparkSession, sf: str) -> DataFrame:
+    led = ledger.fetch_ledger(S.events(spark, sf))
+    return ledger.mark_stale(led, led.where("article_id % 2 = 0").select("article_id")).select("article_id", "changed", "status", "attempts")
+
+
+@query(f"""WITH {S.EVENTS_SQL} SELECT count(*) FILTER (WHERE status = 'stale') AS waiting FROM led""")
+def stale_progress(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.stale_progress(ledger.fetch_ledger(S.events(spark, sf)))
+
+
+@query("""SELECT count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents WHERE doc_id % 13 = 0""")
+def bodies_without_markup(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.bodies_without_markup(S.documents(spark, sf).withColumn("body_raw", F.when(F.col("id") % 13 != 0, F.col("body"))))
+
+
+@query(f"""WITH {S.EVENTS_SQL} SELECT outcome AS status, count(*) AS n FROM ev GROUP BY 1""")
+def outcome_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.outcome_distribution(S.events(spark, sf).select(F.col("outcome").alias("status")))
+
+
+# A feed made of the pages: twenty to a feed page, each page of the feed repeating the last item of the one before.
+
+_ITEM = "<item><title>{0}</title><link>https://x.example/en/article/some-title-{0}/1/20</link></item>"
+
+
+def _feeds(spark: SparkSession, sf: str) -> DataFrame:
+    p = S.table(spark, sf, "pages").select("page_id", F.floor(F.col("page_id") / 20).cast("bigint").alias("page"))
+    again = p.where("page_id % 20 = 19").withColumn("page", F.col("page") + 1)
+    item = F.format_string(_ITEM.format("%1$d"), F.col("page_id"))
+    rows = p.unionByName(again).groupBy("page").agg(F.sort_array(F.collect_list(F.struct((-F.col("page_id")).alias("o"), item.alias("i")))).alias("l"))
+    return rows.select("page", F.concat(F.lit("<rss><channel><link>https://x.example/en/article/channel-1</link>"), F.array_join(F.transform("l", lambda x: x["i"]), ""), F.lit("</channel></rss>")).alias("xml"))
+
+
+_FEED_SQL = """p AS (SELECT page_id, page_id // 20 AS page FROM pages), f AS (SELECT * FROM p UNION ALL SELECT page_id, page + 1 FROM p WHERE page_id % 20 = 19),
+items AS (SELECT page_id AS article_id, page, CAST(row_number() OVER (PARTITION BY page ORDER BY page_id DESC) - 1 AS INT) AS pos FROM f)"""
+
+
+@query(f"WITH {_FEED_SQL} SELECT page, pos, article_id FROM items")
+def feed_items(spark: SparkSession, sf: str) -> DataFrame:
+    return archive.src_feed(_feeds(spark, sf))
+
+
+@query(f"WITH {_FEED_SQL} SELECT article_id, min(page) AS page, arg_min(pos, (page, pos)) AS pos FROM items GROUP BY 1")
+def feed_union_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    return archive.feed_union_distinct(archive.src_feed(_feeds(spark, sf)))
+
+
+# Streams over the events table; each drains all that is there, and the last state of a key is compared.
+
+
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{sf}/events.parquet"
     # As a pattern: the stream reader takes a plain path for a directory, and small tables are single files.
@@ -283,13 +385,20 @@ def watchdog_runs(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.drain(spark, jobs.stream_machine(ev, ["key"], state.watchdog(3), "30 days"), "watchdog").select("key", "seq", "run", "alarm")
 
 
-@query()
+_FREE = "(r.last IS NULL OR e.us - r.last >= 43200000000)"
+
+
+@query(f"""WITH {_fold_sql("CAST(NULL AS BIGINT) AS last, false AS sent", f"CASE WHEN {_FREE} AND e.outcome <> 'missing' THEN e.us ELSE r.last END, {_FREE}")}
+    SELECT article_id AS key, seq, sent FROM r WHERE n > 0""")
 def throttle_alerts(spark: SparkSession, sf: str) -> DataFrame:
     ev = _event_stream(spark, sf).select(F.col("article_id").alias("key"), "ts", "seq", (F.col("outcome") != "missing").alias("delivered"))
     return jobs.drain(spark, jobs.stream_machine(ev, ["key"], state.throttle(43_200), "30 days"), "throttle").select("key", "seq", "sent")
 
 
-@query()
+@query(f"""WITH {_fold_sql("'pending' AS status, 0 AS attempts", """CASE WHEN e.outcome = 'stale' THEN CASE WHEN r.status IN ('dead', 'error') THEN 'pending' ELSE r.status END
+            WHEN e.outcome = 'missing' THEN CASE WHEN r.status IN ('pending', 'error') THEN 'dead' ELSE r.status END ELSE e.outcome END,
+            CASE WHEN e.outcome = 'stale' THEN CASE WHEN r.status IN ('dead', 'error') THEN 0 ELSE r.attempts END WHEN e.outcome = 'missing' THEN r.attempts ELSE r.attempts + 1 END""")}
+    SELECT article_id, arg_max(status, n) AS status, CAST(arg_max(attempts, n) AS INT) AS attempts FROM r GROUP BY article_id""")
 def stream_image_queue(spark: SparkSession, sf: str) -> DataFrame:
     move = F.when(F.col("outcome") == "stale", "requeue").when(F.col("outcome") == "missing", "kill").otherwise(F.col("outcome"))
     ev = _event_stream(spark, sf).select("article_id", F.lit("http://h/x.png").alias("source_url"), "ts", "seq", move.alias("event"))

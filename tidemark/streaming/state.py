@@ -1,80 +1,139 @@
 """Keyed state machines over ordered outcomes, for streams and (the same step) for batches.
 
-Each machine is a pure step: (state, event) -> (state, output). Rows of a key are applied in
-(ts, seq) order within a micro-batch; rows later than the watermark are dropped by Spark.
+Each machine is a pure step: (state, event) -> (state, output), plus a rule that says when a state lapses by itself. As a stream it is a
+stateful processor in event time: a key's state is one typed value, a timer is set for the moment at which it lapses, and a state that
+equals the start is not kept at all, so what is stored are the keys that are in trouble now and not all keys ever seen.
+
+Rows of a key are applied in (ts, seq) order within a micro-batch, so a key's rows of one micro-batch are sorted in memory; between micro-batches they are
+applied as they come. Where states lapse, rows that come later than the watermark (which starts at 1970) are dropped by Spark.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 Step = Callable[[tuple, Any], tuple[tuple, tuple]]
 
 
 @dataclass(frozen=True)
 class Machine:
+    """`lapses`: microseconds of event time at which a state turns into the start by itself, or None.
+    `lapsed`: what is then put out, or None for nothing."""
+
     start: tuple
     state_schema: str
     out_schema: str  # columns after key, ts, seq
     step: Step
+    lapses: Callable[[tuple], int | None] | None = None
+    lapsed: tuple | None = None
 
     @property
     def out_names(self) -> list[str]:
         return [c.split()[0] for c in self.out_schema.split(", ")]
 
 
-def _apply(machine: Machine, keys: list[str], key: tuple, state: tuple, frames: Iterable[pd.DataFrame]) -> tuple[tuple, pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
+def _apply(machine: Machine, key: tuple, state: tuple, rows: Iterable[Any]) -> tuple[tuple, list[tuple]]:
     out = []
-    for e in rows.itertuples(index=False):
+    for e in sorted(rows, key=lambda e: (e.ts, e.seq)):
         state, made = machine.step(state, e)
         out.append((*key, e.ts, e.seq, *made))
-    return state, pd.DataFrame(out, columns=[*keys, "ts", "seq", *machine.out_names])
+    return state, out
 
 
-def _schema(events: DataFrame, keys: list[str], machine: Machine) -> str:
-    return ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in [*keys, "ts", "seq"]) + ", " + machine.out_schema
+def _schema(events: DataFrame, keys: list[str], machine: Machine) -> T.StructType:
+    return T.StructType([T.StructField(c, events.schema[c].dataType) for c in [*keys, "ts", "seq"]] + T.StructType.fromDDL(machine.out_schema).fields)
 
 
-def run_stream(events: DataFrame, keys: list[str], machine: Machine) -> DataFrame:
-    """One output row per event, with state kept between micro-batches."""
+class _Processor(StatefulProcessor):
+    def __init__(self, machine: Machine, names: list[str]) -> None:
+        self.machine, self.row = machine, Row(*names)
 
-    def fn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, out = _apply(machine, keys, key, state.get if state.exists else machine.start, frames)
-        state.update(now)
-        yield out
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("state", self.machine.state_schema)
+        if self.machine.lapses:
+            self.timer = handle.getValueState("timer", "at bigint")  # the timer that is set, in milliseconds
 
-    return events.groupBy(*keys).applyInPandasWithState(fn, _schema(events, keys, machine), machine.state_schema, "append", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        kept = self.value.get()
+        state, out = _apply(self.machine, key, self.machine.start if kept is None else tuple(kept), rows)
+        if state == self.machine.start:
+            self.value.clear()
+        else:
+            self.value.update(state)
+        if self.machine.lapses:
+            self._set_timer(self.machine.lapses(state))
+        return iter([self.row(*r) for r in out])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.value.clear()
+        self.timer.clear()
+        if self.machine.lapsed is None:
+            return iter([])
+        return iter([self.row(*key, _when(expiredTimerInfo.getExpiryTimeInMs()), None, *self.machine.lapsed)])
+
+    def _set_timer(self, at: int | None) -> None:
+        was = self.timer.get()
+        now = None if at is None else -(-at // 1000)  # timers count milliseconds: the first at which the state has lapsed
+        if was is not None and was[0] != now:
+            self.handle.deleteTimer(was[0])
+            self.timer.clear()
+        if now is not None and (was is None or was[0] != now):
+            self.handle.registerTimer(now)
+            self.timer.update((now,))
+
+    def close(self) -> None:
+        pass
+
+
+def run_stream(events: DataFrame, keys: list[str], machine: Machine) -> DataFrame:
+    """One output row per event, and one (seq null, ts the moment) for each state that lapses with an output. `events` carries a watermark on ts."""
+    needed = [f.split()[0] for f in machine.state_schema.split(", ")]
+    if {*needed} & {*keys}:
+        raise ValueError(f"state fields {needed} and keys {keys} must differ")
+    # Stateful processors need this store; a session that brings another one is set to it.
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = _schema(events, keys, machine)
+    return events.groupBy(*keys).transformWithState(_Processor(machine, schema.fieldNames()), schema, "Append", "EventTime" if machine.lapses else "None")
 
 
 def run_batch(events: DataFrame, keys: list[str], machine: Machine) -> DataFrame:
-    """The batch twin: every key from its start."""
+    """The batch twin: every key from its start, without lapses at the end."""
+    schema = _schema(events, keys, machine)
 
     def fn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _apply(machine, keys, key, machine.start, [frame])[1]
+        return pd.DataFrame(_apply(machine, key, machine.start, frame.itertuples(index=False))[1], columns=schema.fieldNames())
+
+    return events.groupBy(*keys).applyInPandas(fn, schema)
+
 
-    return events.groupBy(*keys).applyInPandas(fn, _schema(events, keys, machine))
+def _micros(ts: datetime.datetime) -> int:
+    """Microseconds since the epoch. Rows carry local times without a zone, frames UTC times (pandas takes those without a zone as such)."""
+    return round(ts.timestamp() * 1_000_000)
 
 
-def _seconds(ts: pd.Timestamp) -> float:
-    return ts.timestamp()
+def _when(millis: int) -> datetime.datetime:
+    return datetime.datetime.fromtimestamp(millis / 1000)
 
 
 def host_circuit(threshold: int = 3, open_sec: float = 900) -> Machine:
     """Events (host, ts, seq, failed). Consecutive failures open a host; a success clears the count but not an
     open state; each failure past the threshold stamps the opening anew; more than `open_sec` later it is
-    closed with a clear count. Expiry is judged in event time, before each event."""
+    closed with a clear count. Expiry is judged in event time: before each event, and by a timer where none comes."""
+    lasts = round(open_sec * 1_000_000)
 
     def step(state: tuple, e: Any) -> tuple[tuple, tuple]:
         failures, opened = state
-        now = _seconds(e.ts)
-        if opened is not None and now - opened > open_sec:
+        now = _micros(e.ts)
+        if opened is not None and now - opened > lasts:
             failures, opened = 0, None
         if e.failed:
             failures += 1
@@ -84,7 +143,7 @@ def host_circuit(threshold: int = 3, open_sec: float = 900) -> Machine:
             failures = 0
         return (failures, opened), (failures, opened is not None)
 
-    return Machine((0, None), "failures int, opened double", "failures int, open boolean", step)
+    return Machine((0, None), "failures int, opened bigint", "failures int, open boolean", step, lambda s: None if s[1] is None else s[1] + lasts + 1, (0, False))
 
 
 def watchdog(limit: int = 5) -> Machine:
@@ -98,14 +157,16 @@ def watchdog(limit: int = 5) -> Machine:
 
 
 def throttle(interval_sec: float) -> Machine:
-    """Events (key, ts, seq, delivered): pass an alert, then none for the interval; only a delivered one starts the clock."""
+    """Events (key, ts, seq, delivered): pass an alert, then none for the interval; only a delivered one starts the clock.
+    Once the interval is over nothing has to be remembered, so the state lapses."""
+    lasts = round(interval_sec * 1_000_000)
 
     def step(state: tuple, e: Any) -> tuple[tuple, tuple]:
-        last, now = state[0], _seconds(e.ts)
-        send = last is None or now - last >= interval_sec
+        last, now = state[0], _micros(e.ts)
+        send = last is None or now - last >= lasts
         return (now if send and e.delivered else last,), (send,)
 
-    return Machine((None,), "last double", "sent boolean", step)
+    return Machine((None,), "last bigint", "sent boolean", step, lambda s: None if s[0] is None else s[0] + lasts)
 
 
 def ledger() -> Machine:
