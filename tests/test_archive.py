@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,3 +316,46 @@ def test_appended_columns_replace_their_namesakes(spark):
     df = spark.createDataFrame([("a", 1, 5.0), (None, 2, 6.0)], "t string, n int, `odd.name` double")
     out = append_columns(df, ["t"], [T.StructField("n", T.LongType())], lambda ts: [[len(t or "") for t in ts]])
     assert out.columns == ["t", "odd.name", "n"] and sorted(map(tuple, out.select("n").collect())) == [(0,), (1,)]
+
+
+@pytest.mark.parametrize(("n", "k", "bits"), [(80, 12, 8), (60, 90, 4), (1, 3, 4)])
+def test_code_index_finds_what_a_full_scan_finds(spark, tmp_path, n, k, bits):
+    rng = np.random.default_rng(n)
+    words = rng.integers(-(2**63), 2**63 - 1, (n, 1), dtype=np.int64)
+    words[n // 3 : 2 * n // 3] = words[: 2 * n // 3 - n // 3] ^ (1 << rng.integers(0, 63, (2 * n // 3 - n // 3, 1)))  # near copies
+    words[2 * n // 3 :] = words[0]  # a hot code
+    coded = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(words)], "article_id long, code array<bigint>")
+    index = vectors.code_index(coded, str(tmp_path / "index"), bits)
+    asked = coded.where("article_id % 20 = 0").withColumnRenamed("article_id", "query_id")
+    got = {(r.query_id, r.article_id, r.distance) for r in vectors.nearest_codes(index, asked, k, bits).collect()}
+    far = lambda a, b: sum(int(x ^ y & (1 << 64) - 1).bit_count() for x, y in zip(a.view(np.uint64).tolist(), b.view(np.uint64).tolist(), strict=True))
+    want = {(q, i, d) for q in range(0, n, 20) for d, i in sorted((far(words[q], words[i]), i) for i in range(n))[:k]}
+    assert got == want
+
+
+def test_code_index_reads_few_files(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    coded = spark.createDataFrame([(i, [int(w)]) for i, w in enumerate(rng.integers(-(2**63), 2**63 - 1, 500))], "article_id long, code array<bigint>")
+    index = vectors.code_index(coded, str(tmp_path / "index"), 4)
+    asked = coded.where("article_id = 7").withColumnRenamed("article_id", "query_id")
+    names = {f for f in (r.f for r in index.where("value IN (1, 2)").select(F.input_file_name().alias("f")).distinct().collect())}
+    assert len(names) <= 32 < index.select(F.input_file_name()).distinct().count()
+    assert vectors.nearest_codes(index, asked, 1, 4).first().article_id == 7
+
+
+def test_knn_join_in_blocks_equals_one_matrix(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(150)], "id long, embedding array<double>").unionByName(
+        spark.createDataFrame([(900 + i, [1.0] * 8) for i in range(40)], "id long, embedding array<double>")
+    )
+    asked = df.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    one, dealt = (vectors.knn_join(asked, df, 7, exclude_self=True, **how).select("query_id", "id", "rank") for how in ({}, {"query_block": 16, "query_bytes": 0}))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, dealt.collect()))
+    assert one.count() == 7 * asked.count()
+    assert vectors.knn_join(asked.limit(0), df, 7).count() == 0
+
+
+def test_named_entities(spark):
+    page = "<article><p>caf&eacute; &Ntilde;and&uacute; &szlig; &frac12; &amp;lt; &nosuchname; &apos;</p></article>"
+    got = spark.createDataFrame([(page,)], "html string").select(extract.extract_body_text(F.col("html")).alias("t")).first().t
+    assert got == "café Ñandú ß ½ &lt; &nosuchname; '"

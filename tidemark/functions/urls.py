@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)"
+from tidemark.functions import page_formats as formats
 
 #: IPv4 blocks that are not publicly routable, multicast included.
 NON_PUBLIC_V4 = (
@@ -27,7 +27,7 @@ def normalise_url(url: Column) -> Column:
 
 def url_host(url: Column) -> Column:
     """Lower-case host without user-info and port; null without an authority."""
-    authority = F.nullif(F.regexp_extract(url, _AUTHORITY, 1), F.lit(""))
+    authority = F.nullif(F.regexp_extract(url, formats.AUTHORITY, 1), F.lit(""))
     return F.lower(F.split_part(F.regexp_replace(authority, "^.*@", ""), F.lit(":"), F.lit(1)))
 
 
@@ -65,7 +65,7 @@ def classify_url_table(rows: DataFrame, url_col: str = "source_url", out: str =
     url = normalise_url(F.col(url_col))
     web = F.coalesce(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin("http", "https"), F.lit(False))
     octet = r"(?:0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-    literal = F.coalesce(F.contains(F.regexp_extract(url, _AUTHORITY, 1), F.lit("[")), F.lit(False))
+    literal = F.coalesce(F.contains(F.regexp_extract(url, formats.AUTHORITY, 1), F.lit("[")), F.lit(False))
     # Step by step, so that each part is evaluated once.
     names = rows.where(~literal).withColumn("__web", web).withColumn("__host", F.coalesce(url_host(url), F.lit("")))
     host = F.col("__host")
@@ -78,11 +78,9 @@ def classify_url_table(rows: DataFrame, url_col: str = "source_url", out: str =
     return plain.unionByName(bracketed)
 
 
-#: The private names and prefixes of the launch audit.
-_PRIVATE = r"(?i)(://|@)(localhost|127\.|10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|169\.254\.|0\.0\.0\.0)"
 
 
 def audit_private_blobs(images: DataFrame) -> DataFrame:
     """Captured rows whose URL is not http(s) or names a private address."""
     url = F.col("source_url")
-    return images.where((F.col("status") == "ok") & (~url.rlike("(?i)^https?://") | url.rlike(_PRIVATE)))
+    return images.where((F.col("status") == "ok") & (~url.rlike("(?i)^https?://") | url.rlike(formats.PRIVATE_URL)))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import binary_quantise, cosine, hamming, vector_fault
 from tidemark.operators.browse import visible_only
+from tidemark.sources.shared import materialise
 
 CANDIDATES = 500
 RESULTS = 20
@@ -96,51 +98,143 @@ def search_two_stage(coded: DataFrame, query: list[float], articles: DataFrame |
     return best if articles is None else join_candidates(best, articles)
 
 
+def _blocks_of(bits: int) -> F.Column:
+    """The blocks of `code` as numbers."""
+    return F.flatten(F.transform("code", lambda w: F.array(*(F.shiftrightunsigned(w, b).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") for b in range(0, 64, bits)))))
+
+
+def code_index(coded: DataFrame, path: str, bits: int = 8) -> DataFrame:
+    """Store sign codes (article_id, code) for search: once for every block of `bits` bits, in a folder for each block and value.
+
+    (part, value, article_id, code). A search reads the folders that its probes name; the sizes of blocks and folders follow the data, not a cap.
+    """
+    if 64 % bits:
+        raise ValueError("a block has to divide 64 bits")
+    rows = coded.select("article_id", "code", F.posexplode(_blocks_of(bits)).alias("part", "value"))
+    rows.repartition("part", "value").sortWithinPartitions("part", "value").write.partitionBy("part", "value").parquet(path)
+    return coded.sparkSession.read.schema("article_id bigint, code array<bigint>, part int, value int").parquet(path)
+
+
+def _near_values(bits: int, radius: int) -> list[int]:
+    """All masks of `radius` bits out of `bits`."""
+    return [sum(1 << b for b in picked) for picked in combinations(range(bits), radius)]
+
+
+def nearest_codes(index: DataFrame, queries: DataFrame, k: int, bits: int = 8) -> DataFrame:
+    """(query_id, article_id, distance): the k nearest codes of each query (query_id, code), ties to the smaller id. Exact.
+
+    Of two codes of m blocks that differ in at most m (r + 1) - 1 bits, some block differs in at most r. So the values at distance r from the
+    query's own are probed in every block, for rising r, and a query is done once k of what it has found lie within that bound; the rest
+    go on to the next radius. Only codes in probed folders are compared. Queries that are not done at half a block's bits would probe most
+    folders of every block; they read all values of one block instead, which is every code once.
+    """
+    m = queries.select(F.max(F.size("code"))).first()[0]
+    if m is None:
+        return index.limit(0).select(F.col("article_id").alias("query_id"), "article_id", F.lit(0).alias("distance"))
+    m *= 64 // bits
+    open_, done, found = queries.select("query_id", "code"), None, None
+    for radii in [range(2), *(range(r, r + 1) for r in range(2, bits // 2)), None]:
+        blocks = open_.select("query_id", F.col("code").alias("q"), F.posexplode(_blocks_of(bits)).alias("part", "own"))
+        if radii is None:
+            probes = blocks.where("part = 0").select("query_id", "q", "part", F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1))).alias("value"))
+            met = index.join(probes, ["part", "value"])
+        else:
+            masks = F.array(*(F.lit(v) for r in radii for v in _near_values(bits, r)))
+            probes = blocks.select("query_id", "q", "part", "own", F.explode(masks).alias("mask")).select("query_id", "q", "part", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+            # The folders by name, so that the scan prunes them; at most 2^bits values.
+            values = [r[0] for r in probes.select("value").distinct().collect()]
+            met = index.where(F.col("value").isin(values)).join(probes, ["part", "value"])
+        fresh = met.groupBy("query_id", "article_id").agg(F.min(hamming(F.col("q"), F.col("code"))).alias("distance"))
+        if found is not None:
+            fresh = fresh.unionByName(found.join(open_.select("query_id"), "query_id", "left_semi")).groupBy("query_id", "article_id").agg(F.min("distance").alias("distance"))
+        # No more than the k best found so far can be among the k best of all.
+        best = W.partitionBy("query_id").orderBy("distance", "article_id")
+        found = materialise(fresh.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place"), "codes-found")
+        if radii is not None:
+            sure = found.groupBy("query_id").agg(F.count_if(F.col("distance") <= m * (radii[-1] + 1) - 1).alias("n")).where(F.col("n") >= k).select("query_id")
+            settled = found.join(sure, "query_id", "left_semi")
+            open_ = open_.join(sure, "query_id", "left_anti")
+        else:
+            settled, open_ = found, open_.limit(0)
+        done = settled if done is None else done.unionByName(settled)
+        if radii is None or open_.isEmpty():
+            return done
+
+
+def search_many(coded: DataFrame, index: DataFrame, queries: DataFrame, articles: DataFrame, candidates: int = CANDIDATES, limit: int = RESULTS, bits: int = 8) -> DataFrame:
+    """(query_id, article_id, rank, score) with the columns of `articles`, for queries (query_id, embedding): the `candidates` nearest codes
+    through the index, re-ranked by cosine. `index` holds the codes of visible articles; a query does not find its own id."""
+    dims = 64
+    asked = queries.select("query_id", binary_quantise(F.col("embedding"), dims).alias("code"))
+    near = nearest_codes(index, asked, candidates + 1, bits).where("article_id <> query_id")
+    near = near.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "article_id"))).where(F.col("place") <= candidates)
+    pairs = near.select("query_id", "article_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(coded.select("article_id", "embedding"), "article_id")
+    scored = pairs.select("query_id", "article_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+    best = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "article_id")
+    hits = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return hits.join(visible_only(articles).withColumnRenamed("id", "article_id"), "article_id")
+
+
 def join_candidates(found: DataFrame, articles: DataFrame) -> DataFrame:
     """At most `limit` hits with their article columns."""
     return articles.withColumnRenamed("id", "article_id").join(F.broadcast(found), "article_id")
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int, query_block: int = 256, exclude_self: bool = False) -> DataFrame:
+#: Bytes of query vectors that may be sent to every task; beyond it they are dealt to blocks.
+QUERY_BYTES = 32_000_000
+
+
+def knn_join(queries: DataFrame, base: DataFrame, k: int, query_block: int = 4096, exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, id, score, rank): the k nearest of `base` for each query by cosine, ties to the smaller id.
 
-    Exact: every query meets all rows. Queries are a stated set and come in blocks of `query_block` as one bounded
-    matrix; each task keeps k hits a query, and only those are shuffled.
+    Exact: every query meets all rows, and `base` is scanned once for any number of queries. A stated set of up to `query_bytes` is one matrix that
+    every task holds; a larger one is dealt to blocks of about `query_block`, the base to as many shards, and each (block, shard) is one group of
+    bounded size. A task keeps k hits a query, and only those go on.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // query_block))
-    numbered = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = []
-    for b in range(blocks):
-        rows = numbered.where(F.col("__b") == b).select("query_id", "embedding").collect()
-        if rows:
-            ids = np.array([r[0] for r in rows], np.int64)
-            mat = np.array([r[1] for r in rows], np.float64)
-            parts.append(base.select("id", "embedding").mapInPandas(_nearest(ids, mat / np.linalg.norm(mat, axis=1, keepdims=True), k, exclude_self), "query_id bigint, id bigint, score double"))
-    if not parts:
-        return base.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def _nearest(ids: np.ndarray, queries: np.ndarray, k: int, exclude_self: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            order = np.argsort(f["id"].to_numpy(), kind="stable")  # ties to the smaller id
-            own = f["id"].to_numpy()[order]
-            mat = np.array(f["embedding"].tolist(), np.float64)[order]
+    found = "query_id bigint, id bigint, score double"
+    total, dims = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    base = base.select("id", "embedding")
+    if not total:
+        hits = base.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"))
+    elif total * dims * 8 <= query_bytes:
+        rows = queries.select("query_id", "embedding").toArrow()
+        ids, mat = rows.column(0).to_numpy(), np.array(rows.column(1).to_pylist(), np.float64)
+        hits = base.mapInPandas(lambda frames: _running_best(frames, ids, mat, k, exclude_self), found)
+    else:
+        blocks = -(-total // query_block)
+        shards = max(1, -(-base.count() // query_block))
+        asked = queries.select("query_id", F.col("embedding").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        given = base.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
+
+        def group(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked):
+                return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            best = list(_running_best(iter([given]), asked["query_id"].to_numpy(), np.array(asked["q"].tolist(), np.float64), k, exclude_self))
+            return best[0] if best else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+        hits = asked.groupBy("block", "shard").cogroup(given.groupBy("block", "shard")).applyInPandas(group, found)
+    best = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _running_best(frames: Iterator[pd.DataFrame], ids: np.ndarray, queries: np.ndarray, k: int, exclude_self: bool) -> Iterator[pd.DataFrame]:
+    """The k best of all frames for each query; in memory are those and one slice of a frame."""
+    queries = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    near, who = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+    step = max(1, 4_000_000 // max(1, len(ids)))
+    for f in frames:
+        for a in range(0, len(f), step):
+            own = f["id"].iloc[a : a + step].to_numpy()
+            mat = np.array(f["embedding"].iloc[a : a + step].tolist(), np.float64)
             score = queries @ (mat / np.linalg.norm(mat, axis=1, keepdims=True)).T
             if exclude_self:
                 score[ids[:, None] == own[None, :]] = -np.inf
-            top = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "id": own[top.ravel()], "score": np.take_along_axis(score, top, 1).ravel()})
-
-    return run
+            near, who = np.concatenate([near, score], axis=1), np.concatenate([who, np.broadcast_to(own, score.shape)], axis=1)
+            top = np.lexsort((who, -np.round(near, 12)), axis=1)[:, :k]  # ties to the smaller id
+            near, who = np.take_along_axis(near, top, 1), np.take_along_axis(who, top, 1)
+    held = np.isfinite(near)
+    if held.any():
+        yield pd.DataFrame({"query_id": np.repeat(ids, held.sum(axis=1)), "id": who[held], "score": near[held]})
 
 
 def recall_at_k(neighbours: DataFrame, expected: DataFrame, k: int) -> DataFrame:

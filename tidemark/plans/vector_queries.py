@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import binary_quantise
 from tidemark.operators import merge, vectors
+from tidemark.operators.browse import visible_only
 from tidemark.plans import standins as S
 from tidemark.plans.registry import query
+from tidemark.sources.shared import fresh_path, materialise
 
 DIMS = 64
-#: A probe that any table answers: alternating signs, unit length.
-PROBE = [(1 if i % 3 else -1) * 0.125 for i in range(DIMS)]
-_PROBE_SQL = f"[{', '.join(map(str, PROBE))}]::FLOAT[]"
 AS_OF = datetime.datetime(2024, 2, 1, tzinfo=datetime.UTC)
 
 
@@ -65,12 +64,39 @@ def binary_quantise_codes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("article_id", F.col("c").bitwiseAND(half).alias("low"), F.shiftrightunsigned("c", 32).alias("high"))
 
 
-@query(f"""WITH q AS (SELECT {_PROBE_SQL} AS q), {S.VECTORS_SQL}, near AS (SELECT article_id, embedding, q FROM vecs, q WHERE embedding IS NOT NULL
-    ORDER BY list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (embedding[i] > 0) <> (q[i] > 0) THEN 1 ELSE 0 END)), article_id LIMIT 100)
-    SELECT article_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM near ORDER BY score DESC, article_id LIMIT 20""")
+#: The stated query set: visible vectors whose id is divisible by 20. Codes as 64 signs, compared sign by sign.
+_SEARCH_SQL = f"""{S.VECTORS_SQL}, {S.DOCS_SQL}, seen AS MATERIALIZED (SELECT article_id, CAST(embedding AS DOUBLE[]) AS v, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS c, title
+    FROM vecs JOIN docs ON id = article_id WHERE embedding IS NOT NULL AND hidden_at IS NULL),
+pairs AS MATERIALIZED (SELECT q.article_id AS query_id, b.article_id, b.title, list_cosine_similarity(q.v, b.v) AS score, 64 - CAST(list_dot_product(CAST(q.c AS DOUBLE[]), CAST(b.c AS DOUBLE[])) AS INT)
+    - CAST(list_dot_product(list_transform(q.c, lambda x: CAST(1 - x AS DOUBLE)), list_transform(b.c, lambda x: CAST(1 - x AS DOUBLE))) AS INT) AS far
+    FROM seen q JOIN seen b ON q.article_id % 20 = 0 AND q.article_id <> b.article_id),
+near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY far, article_id) <= 500),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, article_id) AS rank FROM near QUALIFY rank <= 20),
+exact AS (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, article_id) AS rank FROM pairs QUALIFY rank <= 20)"""
+
+
+def _search(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits with article columns, queries, the vectors of visible articles)."""
+    docs = S.documents(spark, sf)
+    seen = materialise(S.vectors(spark, sf).where("embedding IS NOT NULL").join(visible_only(docs).select(F.col("id").alias("article_id")), "article_id", "left_semi").select("article_id", "embedding"), "searchable")
+    coded = vectors.with_codes(seen, DIMS)
+    index = vectors.code_index(coded, fresh_path(spark, "code-index"), bits=4)
+    queries = seen.where("article_id % 20 = 0").select(F.col("article_id").alias("query_id"), "embedding")
+    return vectors.search_many(coded, index, queries, docs, bits=4), queries, seen
+
+
+@query(f"WITH {_SEARCH_SQL} SELECT query_id, article_id, title, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM hits")
 def search_two_stage(spark: SparkSession, sf: str) -> DataFrame:
-    coded = vectors.with_codes(S.vectors(spark, sf), DIMS)
-    return vectors.search_two_stage(coded, PROBE, candidates=100).withColumn("score", F.round("score", 6))
+    """500 candidates by sign code through the stored index, re-ranked, with the articles' columns."""
+    return _search(spark, sf)[0].select("query_id", "article_id", "title", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_SEARCH_SQL} SELECT round(avg(CASE WHEN h.article_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall FROM exact e LEFT JOIN hits h USING (query_id, article_id)")
+def search_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of the true 20 nearest that the two stages find."""
+    hits, queries, seen = _search(spark, sf)
+    exact = vectors.knn_join(queries, seen.withColumnRenamed("article_id", "id"), 20, exclude_self=True)
+    return vectors.recall_at_k(hits.select("query_id", F.col("article_id").alias("id"), "rank"), exact.select("query_id", "id"), 20).withColumn("recall", F.round("recall", 6))
 
 
 def _knn(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
