@@ -14,7 +14,8 @@ every block meets all documents. Map-only apart from the word counts: texts are
 
 Defined results: null text or item text is empty; words are runs of letters and digits, A-Z
 lowered; an item without words matches nothing; one of fewer than `min_words` words matches where all its words stand in a row, and one of
-fewer than three only a document that is nothing else, with score 1; items that repeat an id and text are one; of windows with equal scores
+fewer than three only a document that is nothing else, with score 1; items that repeat an id and text are one, ids of any type are returned as given,
+null included; of windows with equal scores
 the first counts; texts of any length are read whole; repeated rows get the same hits; hits of a document are ordered by item_id;
 an empty table of either kind gives no hits; other columns are kept, whatever their names.
 """
@@ -53,16 +54,12 @@ class _Memo(dict):
 
 _memo = _Memo()
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-HITS = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("item_id", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("start", T.LongType()),
-            T.StructField("end", T.LongType()),
-        ]
-    )
-)
+
+
+def hits_type(id_type: T.DataType) -> T.ArrayType:
+    """array<struct<item_id, score, start, end>>."""
+    fields = (("item_id", id_type), ("score", T.DoubleType()), ("start", T.LongType()), ("end", T.LongType()))
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -212,7 +209,7 @@ def _matcher(items: list[tuple[int, np.ndarray]], seeds: tuple[np.ndarray, np.nd
         raw = text.encode()
         at = [m.span() for m in _WORD.finditer(raw.lower())]
         chars = lambda n: len(raw[:n].decode(errors="ignore"))
-        return [{"item_id": i, "score": s, "start": chars(at[a][0]), "end": chars(at[b - 1][1])} for i, s, a, b in sorted(found)]
+        return [{"item_id": i, "score": s, "start": chars(at[a][0]), "end": chars(at[b - 1][1])} for i, s, a, b in sorted(found, key=lambda h: (h[0] is None, "" if h[0] is None else h[0], *h[1:]))]
 
     return match
 
@@ -227,7 +224,8 @@ def annotate(
     block_bytes: int = 16_000_000,
 ) -> DataFrame:
     """`docs` with an array of (item_id, score, start, end in code points)."""
-    items = items.select(F.col("item_id").try_cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL").distinct()
+    id_type = items.schema["item_id"].dataType
+    items = items.select("item_id", F.col("text").cast("string").alias("text")).distinct()
     blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
     items = materialise(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "benchmark-blocks")
     words = materialise(item_words(items), "benchmark-words")
@@ -241,7 +239,7 @@ def annotate(
         seeds = rare_seeds(block, dict(zip(seen.column("h").to_pylist(), seen.column("n").to_pylist(), strict=True)))
         # One pickled copy per executor, of a size that `block_bytes` bounds.
         shared = docs.sparkSession.sparkContext.broadcast((block, seeds, min_score, min_words))
-        docs = append_columns(docs, [text_col], [T.StructField(name, HITS)], _block_fn(shared))
+        docs = append_columns(docs, [text_col], [T.StructField(name, hits_type(id_type))], _block_fn(shared))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*names, out)]
     return docs.select(*kept, F.array_sort(F.concat(*(F.col(f"`{n}`") for n in names))).alias(out))
 
