@@ -35,11 +35,19 @@ def browse_prev_page(spark: SparkSession, sf: str) -> DataFrame:
     return page.select("id", "country", S.stamp("published_at"), "place", "has_more")
 
 
-@query(f"""WITH {S.ARTICLES_SQL} SELECT id, author_name, {S.stamp_sql("published_at")} FROM articles WHERE hidden_at IS NULL AND author_lc = 'customer#000000042'
+@query(f"""WITH {S.ARTICLES_SQL} SELECT id, author_name, {S.stamp_sql("published_at")} FROM articles WHERE hidden_at IS NULL AND author_lc = 'customer#000000005'
     AND (published_at, id) < (TIMESTAMP '1999-01-02 08:00:00', 0) ORDER BY articles.published_at DESC, id DESC LIMIT 50""")
 def browse_author_on_day(spark: SparkSession, sf: str) -> DataFrame:
     cursor = browse.date_jump(datetime.date(1999, 1, 1), "new")
-    page = browse.browse_page(S.articles(spark, sf), author="Customer#000000042", cursor=cursor)
+    page = browse.browse_page(S.articles(spark, sf), author="Customer#000000005", cursor=cursor)
+    return page.select("id", "author_name", S.stamp("published_at"))
+
+
+@query(f"""WITH {S.ARTICLES_SQL} SELECT id, author_name, {S.stamp_sql("published_at")} FROM articles WHERE hidden_at IS NULL AND author_lc = 'customer#000000005'
+    AND (published_at, id) > (TIMESTAMP '1996-01-01 08:00:00', 0) ORDER BY articles.published_at, id LIMIT 50""")
+def browse_author_from_day(spark: SparkSession, sf: str) -> DataFrame:
+    cursor = browse.date_jump(datetime.date(1996, 1, 1), "old")
+    page = browse.browse_page(S.articles(spark, sf), author="CUSTOMER#000000005", order="old", cursor=cursor)
     return page.select("id", "author_name", S.stamp("published_at"))
 
 
