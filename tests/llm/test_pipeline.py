@@ -141,3 +141,12 @@ def test_every_query_answers(spark, sf):
         assert rows > 0, name
         if name.split("_")[0] in ("op1", "op2", "op4", "op5", "op8", "op9"):
             assert rows == n
+
+
+def test_quality_rules_alike_with_and_without_a_broadcast(spark, sf):
+    from tidemark.llm import line_quality
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sent, joined = (line_quality.apply(docs, broadcast_longs=n) for n in (1 << 40, 0))
+    assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, joined.collect()))
+    assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()

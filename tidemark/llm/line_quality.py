@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.sizes import BROADCAST_LONGS, sent_if_small
 from tidemark.sources.shared import materialise
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -152,7 +153,7 @@ def verdicts(
         .agg(F.sum("n").alias("gone"), F.collect_set("key").alias("removed"))
     )
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > int(100 * max_repeat) * F.col("n_words"))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > round(100 * max_repeat) * F.col("n_words"))
     return (
         feats.drop("line_rows", "sketch")
         .join(hits, "row", "left")
@@ -163,18 +164,22 @@ def verdicts(
     )
 
 
-def apply(docs: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
+def apply(docs: DataFrame, host_col: str = "source", text_col: str = "text", broadcast_longs: int = BROADCAST_LONGS, **limits) -> DataFrame:
     """The kept rows of `docs` with boilerplate lines removed and `n_chars` brought up to date.
 
     Rows with one doc_id share a verdict: kept if any of them is. A null doc_id is an id of its own. The list of documents that change
-    grows faster than the corpus at first (more lines pass the limit), so it meets the texts in one shuffle at every size.
+    (id, verdict, keys of removed lines) is written first and measured: up to BROADCAST_LONGS it goes to the texts, which then are
+    not shuffled at all; a larger list meets them in a join that Spark plans, with one shuffle of the texts.
     """
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = {c: F.col(f"c{docs.columns.index(c)}") for c in docs.columns}
     src = inner.select(at["doc_id"].alias("doc_id"), at[host_col].cast("string").alias("host"), at[text_col].alias("text"))
     lines = F.array_distinct(F.flatten(F.collect_list(F.coalesce("removed", F.array().cast("array<bigint>")))))
     found = verdicts(src, "host", **limits).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), lines.alias("removed"))
-    found = materialise(found.where(~F.col("kept") | (F.size("removed") > 0)), "changed-documents").hint("merge")
+    # A rejected document needs no keys.
+    found = found.where(~F.col("kept") | (F.size("removed") > 0)).withColumn("removed", F.when(F.col("kept"), F.col("removed")))
+    found = materialise(found, "changed-documents")
+    found = sent_if_small(found, F.lit(4) + F.size(F.coalesce("removed", F.array().cast("array<bigint>"))), broadcast_longs)
     both = inner.join(found, at["doc_id"].eqNullSafe(found["doc_id"]), "left").where(F.coalesce("kept", F.lit(True)))
     removed = F.col("removed")
     clean = F.when(F.size(F.coalesce(removed, F.array().cast("array<bigint>"))) == 0, at[text_col]).otherwise(
