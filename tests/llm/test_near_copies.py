@@ -43,11 +43,12 @@ def family_rows():
     return rows + [(300, None), (301, " "), (302, "too short"), (303, "Too  short")]
 
 
-@pytest.mark.parametrize("leaf_rows", [1024, 2])
-def test_groups_are_those_of_all_pairs(spark, leaf_rows):
+@pytest.mark.parametrize("leaf_rows,leaf_words,work", [(1024, 4_000_000, 200_000_000), (2, 4_000_000, 200_000_000), (1024, 300, 200_000_000), (1024, 4_000_000, 900)])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, leaf_rows, leaf_words, work):
+    monkeypatch.setattr(near_copies, "CLUSTER_WORK", work)
     rows = family_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(df, leaf_rows=leaf_rows).collect()}
+    got = {r.doc_id: r.component_id for r in near_copies.near_duplicates(df, leaf_rows=leaf_rows, leaf_words=leaf_words).collect()}
     assert got == brute_groups(rows)
     assert near_copies.near_duplicates(df.limit(0)).count() == 0
 

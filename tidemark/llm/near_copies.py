@@ -5,9 +5,10 @@ a bucket. As two texts at a similarity of 0.8 differ in about 10 of 64 bits, a r
 shingles also has `BANDS` keys, each made of `ROWS` min-hashes: two sets of similarity s share one with probability
 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8, 0.22 at 0.4. Buckets with the same members are taken once.
 
-Links: inside a bucket sets are compared exactly, so a shared template, passage or band never joins clean
-documents. A bucket of more than `leaf_rows` is cut into chunks, and every pair of chunks is a task of its own.
-Tasks report a spanning star of each group; groups are merged by star contraction. Equal sets collapse before any of this.
+Links: buckets that share a member are one cluster, found on ids alone. A cluster of up to `leaf_rows` texts and `leaf_words` shingles, whose product is
+at most CLUSTER_WORK, is compared as one task, so its texts are moved once, however many bands they share. In a larger cluster each bucket is a task; one
+above `leaf_rows` or `leaf_words` is cut into chunks by either measure, and every pair of chunks is a task of its own. Sets are compared exactly, so a shared template, passage or band never joins clean
+documents. Tasks report a spanning star of each group; groups are merged by star contraction. Equal sets collapse before any of this.
 
 Words are cut and lowered as for fingerprints; a text of fewer than five words is one shingle, and texts without words are equal.
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.lm_score import _mix, _ngrams
 from tidemark.llm.simhash import _edges, components, near_links, one_of_each
+from tidemark.llm.sizes import sent_if_small
 from tidemark.sources.shared import materialise
 
 SIZE = 5
@@ -35,6 +37,8 @@ BANDS, ROWS = 24, 5
 _SEEDS = tuple(np.uint64(xxhash.xxh64_intdigest(f"minhash-{i}".encode()) | 1) for i in range(BANDS * ROWS))
 #: Bytes of text that are hashed at a time.
 _SLICE = 2_000_000
+#: Texts times shingles of a cluster that one task compares: what it would cost if no two of them were alike.
+CLUSTER_WORK = 200_000_000
 
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -85,7 +89,7 @@ def _slices(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
 
 
 def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, same (hash of the set of shingles), fp (SimHash), bands. Narrow."""
+    """doc_id, same (hash of the set of shingles), size (of the set), fp (SimHash), bands. Narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -100,11 +104,13 @@ def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     fp[full], keys = fingerprints_of(some), band_keys(some)
                 ends = np.r_[0, np.cumsum(full * BANDS)].astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, len(sets)), pa.array(same), pa.array(fp.view(np.int64)), bands], names=["doc_id", "same", "fp", "bands"])
+                size = pa.array([len(s) for s in sets], pa.int64())
+                cols = [whole.column(0).slice(at, len(sets)), pa.array(same), size, pa.array(fp.view(np.int64)), bands]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "same", "size", "fp", "bands"])
                 at += len(sets)
 
     src = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id bigint, same bigint, fp bigint, bands array<bigint>")
+    return src.mapInArrow(run, "doc_id bigint, same bigint, size bigint, fp bigint, bands array<bigint>")
 
 
 def _stars(sets: list[np.ndarray], ids: np.ndarray, similar: float) -> list[tuple[int, int]]:
@@ -148,30 +154,45 @@ def _leaf(similar: float):
     return fn
 
 
-def similar_links(docs: DataFrame, sets: DataFrame, points: DataFrame, similar: float = SIMILAR, leaf_rows: int = 1024) -> DataFrame:
-    """Edges (u, v) that span every group of similar texts. `docs`: doc_id, text; `sets`: sketches; `points`: same, fp, id."""
+def similar_links(docs: DataFrame, sets: DataFrame, points: DataFrame, similar: float = SIMILAR, leaf_rows: int = 1024, leaf_words: int = 4_000_000) -> DataFrame:
+    """Edges (u, v) that span every group of similar texts. `docs`: doc_id, text; `sets`: sketches; `points`: same, size, fp, id."""
     prints = materialise(points.select(F.col("fp").alias("id"), "fp").distinct(), "prints")
     groups = components(near_links(prints))
-    by_print = points.join(groups, points["fp"] == groups["node"], "left").select("same", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("bucket"))
-    placed = materialise(sets.select("same", F.explode("bands").alias("bucket")).union(by_print).distinct(), "placed")
-    buckets = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("same")).alias("all"), F.min("same").alias("lo"), F.max("same").alias("hi"))
-    once = buckets.where("n > 1").groupBy("n", "all", "lo", "hi").agg(F.min("bucket").alias("bucket"))
-    once = materialise(once.select("bucket", F.ceil(F.col("n") / leaf_rows).cast("int").alias("k")), "buckets")
+    by_print = points.join(groups, points["fp"] == groups["node"], "left").select("same", "size", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("bucket"))
+    placed = materialise(sets.select("same", "size", F.explode("bands").alias("bucket")).union(by_print).distinct(), "placed")
+    buckets = placed.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.bit_xor(F.xxhash64("same")).alias("all"), F.min("same").alias("lo"), F.max("same").alias("hi")
+    )
+    once = buckets.where("n > 1").groupBy("n", "words", "all", "lo", "hi").agg(F.min("bucket").alias("bucket"))
+    k = F.greatest(F.ceil(F.col("n") / leaf_rows), F.ceil(F.col("words") / leaf_words)).cast("int")
+    once = materialise(once.select("bucket", "lo", k.alias("k")), "buckets")
+    member = materialise(placed.join(once, "bucket").select("same", "size", "bucket", "lo", "k"), "bucket-members")
+
+    clusters = materialise(components(member.select(F.col("same").alias("u"), F.col("lo").alias("v"))), "clusters")
+    within = clusters.join(points, clusters["node"] == points["same"]).select("root", "same", "size", "id")
+    sizes = within.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    large = materialise(sizes.where((F.col("n") > leaf_rows) | (F.col("words") > leaf_words) | (F.col("n") * F.col("words") > CLUSTER_WORK)).select("root"), "large-clusters")
+    whole = within.join(large, "root", "left_anti").select(F.xxhash64(F.lit("cluster"), "root").alias("task"), "id")
+    rest = within.join(large, "root", "left_semi").select("same", "id")
     mine = F.pmod(F.xxhash64("same"), F.col("k")).cast("int")
     # Chunk c meets every chunk: tasks (min, max) of c and each of 0..k-1.
     tasks = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.xxhash64("bucket", F.least(mine, j), F.greatest(mine, j)))
-    dealt = materialise(placed.join(once, "bucket").select("same", F.explode(tasks).alias("task")).join(points, "same").select("task", "id"), "similar-tasks")
-    wanted = materialise(dealt.select("id").distinct(), "similar-ids")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").distinct()
-    return dealt.join(texts, "id").groupBy("task").applyInArrow(_leaf(similar), "u bigint, v bigint").distinct()
+    cut = member.select("same", F.explode(tasks).alias("task")).join(rest, "same").select("task", "id")
+    dealt = materialise(whole.union(cut).groupBy("id").agg(F.collect_set("task").alias("tasks")), "similar-tasks")
+    # Where the list of ids may be broadcast, a text is moved once, to its task.
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    if not sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        texts = texts.distinct()
+    sent = texts.join(sent_if_small(dealt, F.lit(3) + F.size("tasks")), "id").select("id", "text", F.explode("tasks").alias("task"))
+    return sent.groupBy("task").applyInArrow(_leaf(similar), "u bigint, v bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", similar: float = SIMILAR, leaf_rows: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, text_col: str = "text", similar: float = SIMILAR, **limits) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable over links, itself included), for rows with an id."""
     src = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     sets = materialise(sketches(src), "sketches")
-    points = materialise(sets.groupBy("same", "fp").agg(F.min("doc_id").alias("id")), "points")
-    joined = components(similar_links(src, sets, points, similar, leaf_rows))
+    points = materialise(sets.groupBy("same", "size", "fp").agg(F.min("doc_id").alias("id")), "points")
+    joined = components(similar_links(src, sets, points, similar, **limits))
     classes = points.join(joined, points["id"] == joined["node"], "left").select("same", F.coalesce("root", "id").alias("component_id"))
     return sets.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.lm_score import _mix
+from tidemark.llm.sizes import sent_if_small
 from tidemark.sources.shared import materialise
 
 SEED = 42
@@ -300,7 +301,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
 def one_of_each(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
     """`docs` without the rows whose class has a smaller id. Of rows that repeat an id one stays: the smallest text of those the class list keeps.
 
-    Only ids that go are joined to the texts; Spark broadcasts them below its own threshold.
+    Only ids that go are joined to the texts, by a broadcast if they are few enough.
     """
     per_id = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
     per_id = materialise(per_id.where("n > 1 OR NOT stays"), "ids-to-settle")
@@ -308,6 +309,7 @@ def one_of_each(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
     key = F.col(f"c{names.index('doc_id')}").try_cast("bigint")
     gone = materialise(per_id.where("NOT stays").select("doc_id"), "ids-gone")
+    gone = sent_if_small(gone)
     left = inner.join(gone, key == gone["doc_id"], "left_anti")
     again = materialise(per_id.where("stays").select("doc_id"), "ids-repeated")
     if not again.isEmpty():
