@@ -17,8 +17,8 @@ from tidemark.operators.triage import MAX_ATTEMPTS, retry_gate
 def fetch_ledger(events: DataFrame) -> DataFrame:
     """One row per article: attempts since the last reset (a `stale` event), the latest status, error and time.
 
-    A reset is the latest event or lies before those counted, so an order-insensitive fold in one
-    aggregation does it: no window over a busy article's whole history.
+    Two aggregations, of the last reset and of the events after it, both pre-aggregated on the way: no window over a busy article's
+    whole history. The join between them is on the same key.
     """
     order = F.struct("ts", "seq")
     resets = F.max(F.when(F.col("outcome") == "stale", order))
