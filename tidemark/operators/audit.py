@@ -6,15 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def length_profile(rows: DataFrame, text: str = "body", exact: bool = True) -> DataFrame:
-    """Mean, p50, p90, p99 and max length; `exact=False` uses sketches, for corpora whose lengths do not fit a sort."""
+QUANTILES = (0.5, 0.9, 0.99)
+
+
+def length_sketches(rows: DataFrame, by: list[str], text: str = "body", k: int = 800) -> DataFrame:
+    """One row per value of `by`: lengths as a KLL sketch with their sum and maximum. Small, so they can be stored and merged later with those of
+    other partitions or days; texts are not read again. Null texts have no length; a part of such texts alone has a null sketch.
+
+    `k` sets the error: a quantile's rank is off by about 1.7 / k of the rows (0.2 % at 800) in 99 of 100 cases.
+    """
+    n = F.length(text).cast("bigint")
+    return rows.groupBy(*by).agg(F.kll_sketch_agg_bigint(n, F.lit(k)).alias("sketch"), F.count(n).alias("texts"), F.sum(n).alias("chars"), F.max(n).cast("int").alias("longest"))
+
+
+def profile_of_sketches(sketches: DataFrame, by: list[str] | None = None, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """Mean, quantiles (p50, p90, p99) and maximum of all texts behind stored sketches, by coarser parts if asked for."""
+    kept = sketches.where("texts > 0")
+    one = kept.groupBy(*(by or [])).agg(
+        F.kll_merge_agg_bigint("sketch").alias("sketch"), F.sum("texts").alias("texts"), (F.sum("chars") / F.sum("texts")).alias("mean"), F.max("longest").alias("longest")
+    )
+    # Over no texts at all there is one row of nulls, as for any mean.
+    q = F.when(F.col("texts") > 0, F.kll_sketch_get_quantile_bigint("sketch", F.array(*map(F.lit, quantiles))))
+    return one.select(*(by or []), "mean", *(q[i].cast("double").alias(f"p{round(100 * x)}") for i, x in enumerate(quantiles)), "longest")
+
+
+def length_profile(rows: DataFrame, text: str = "body", exact: bool = False) -> DataFrame:
+    """Mean, p50, p90, p99 and max length, from mergeable sketches; `exact=True` keeps a count of each length instead and interpolates."""
+    if not exact:
+        return profile_of_sketches(length_sketches(rows, [], text))
     n = rows.select(F.length(text).alias("n"))
-    if exact:
-        q = F.percentile("n", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    else:
-        q = F.percentile_approx("n", [0.5, 0.9, 0.99], 10_000)
-    one = n.agg(F.avg("n").alias("mean"), q.alias("q"), F.max("n").alias("longest"))
-    return one.select("mean", *(F.col("q")[i].cast("double").alias(c) for i, c in enumerate(("p50", "p90", "p99"))), "longest")
+    one = n.agg(F.avg("n").alias("mean"), F.percentile("n", F.array(*map(F.lit, QUANTILES))).alias("q"), F.max("n").alias("longest"))
+    return one.select("mean", *(F.col("q")[i].cast("double").alias(f"p{round(100 * x)}") for i, x in enumerate(QUANTILES)), "longest")
 
 
 def publication_rate(articles: DataFrame) -> DataFrame:

@@ -14,24 +14,38 @@ from pyspark.sql import functions as F
 from tidemark.operators.triage import MAX_ATTEMPTS, retry_gate
 
 
-def fetch_ledger(events: DataFrame) -> DataFrame:
-    """One row per article: attempts since the last reset (a `stale` event), the latest status, error and time.
+def fold_outcomes(events: DataFrame) -> DataFrame:
+    """Events of any stretch of time as one step an article: the ledger's columns and `reset`, whether there was a `stale` event in it
+    (`attempts` then counts from the last one on, else all). Steps compose: see `apply_fold`.
 
     Two aggregations, of the last reset and of the events after it, both pre-aggregated on the way: no window over a busy article's
     whole history. The join between them is on the same key.
     """
     order = F.struct("ts", "seq")
     resets = F.max(F.when(F.col("outcome") == "stale", order))
-    marks = events.groupBy("article_id").agg(resets.alias("reset"))
-    counted = events.join(marks, "article_id").withColumn("after", F.col("reset").isNull() | (order > F.col("reset")))
+    marks = events.groupBy("article_id").agg(resets.alias("reset_at"))
+    counted = events.join(marks, "article_id").withColumn("after", F.col("reset_at").isNull() | (order > F.col("reset_at")))
     return counted.groupBy("article_id").agg(
         F.max_by("outcome", order).alias("status"),
         F.count_if("after").alias("attempts"),
         F.max_by("error", order).alias("last_error"),
         F.max("ts").alias("updated_at"),
+        F.bool_or(F.col("reset_at").isNotNull()).alias("reset"),
     )
 
 
+def fetch_ledger(events: DataFrame) -> DataFrame:
+    """One row per article: attempts since the last reset (a `stale` event), the latest status, error and time."""
+    return fold_outcomes(events).drop("reset")
+
+
+def apply_fold(ledger: DataFrame, step: DataFrame) -> DataFrame:
+    """The ledger rows of the articles in `step` (from `fold_outcomes`) after it; articles without a row begin at no attempts."""
+    before = ledger.select("article_id", F.col("attempts").alias("before"))
+    carried = F.when(F.col("reset"), F.lit(0).cast("bigint")).otherwise(F.coalesce("before", F.lit(0).cast("bigint")))
+    return step.join(before, "article_id", "left").select("article_id", "status", (F.col("attempts") + carried).alias("attempts"), "last_error", "updated_at")
+
+
 def mark_stale(ledger: DataFrame, selection: DataFrame) -> DataFrame:
     """Rows of the selection that are ok or error become stale with no attempts; others are untouched. `changed` tells which."""
     picked = selection.select("article_id").distinct().withColumn("__hit", F.lit(True))
@@ -104,7 +118,14 @@ def bodies_without_markup(articles: DataFrame) -> DataFrame:
     return articles.where(F.col("body_raw").isNull()).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-def outcome_distribution(outcomes: DataFrame, count: int | None = None, seed: int = 7) -> DataFrame:
-    """Status histogram, over a random sample of `count` rows if asked for."""
-    rows = outcomes if count is None else outcomes.orderBy(F.rand(seed)).limit(count)
+def sample_ids(rows: DataFrame, count: int, by: str = "article_id", seed: int = 7) -> DataFrame:
+    """A random sample of `count` rows: those whose ids hash lowest. Each task keeps its own lowest and only those meet, the same rows come out
+    on every run, and a larger sample holds a smaller one."""
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string")))
+    return rows.orderBy(mark, by).limit(count)
+
+
+def outcome_distribution(outcomes: DataFrame, count: int | None = None, by: str = "article_id", seed: int = 7) -> DataFrame:
+    """Status histogram, over a random sample of `count` rows if asked for (`by` names the rows)."""
+    rows = outcomes if count is None else sample_ids(outcomes, count, by, seed)
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,16 +54,57 @@ def hash_encoder(dims: int) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
-def embed_job(queued: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = BATCH) -> DataFrame:
-    """(article_id, embedding) of (id, title, body); the encoder is built once a task and fed `batch` texts at a time."""
+#: Multipliers of the code points of an n-gram, and the prime to which it is reduced.
+_MIX = (1_000_003, 998_244_353, 1_000_000_007, 433_494_437, 715_827_883)
+_PRIME = (1 << 31) - 1
+
+
+def ngram_encoder(dims: int, n: int = 3) -> Callable[[list[str]], np.ndarray]:
+    """Unit vectors of texts by a sparse random projection of their character n-grams: each n-gram hashes to a component and a sign.
+
+    Texts that share much of their wording come out near each other, without a model. Shorter texts are filled up with spaces; where everything cancels
+    out, the vector is the first axis.
+    """
+    if not 1 <= n <= len(_MIX):
+        raise ValueError(f"n must be from 1 to {len(_MIX)}")
+
+    def one(text: str) -> np.ndarray:
+        codes = np.frombuffer(text.ljust(n).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        count = len(codes) - n + 1
+        h = sum(codes[i : i + count] * _MIX[i] for i in range(n)) % _PRIME
+        v = np.bincount(h % dims, 1.0 - 2.0 * (h // dims % 2), dims)
+        length = np.sqrt((v * v).sum())
+        return v / length if length else np.eye(1, dims)[0]
+
+    return lambda texts: np.array([one(t) for t in texts], np.float32)
+
+
+def embed_job(
+    queued: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = BATCH,
+    left_queued: tuple[type[Exception], ...] = (TimeoutError, OSError), profile: ResourceProfile | None = None,
+) -> DataFrame:
+    """(article_id, embedding, error) of (id, title, body); the encoder is built once a task and fed `batch` texts at a time.
+
+    Where the encoder fails with one of `left_queued`, the batch's embeddings are null and `error` says why: nothing is saved for them and they stay
+    queued. Any other exception fails the task. `profile`: what a task of this stage needs (an accelerator, more memory), for clusters.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make_encoder()
         for f in frames:
-            vectors = [v for a in range(0, len(f), batch) for v in encode(f["text"].iloc[a : a + batch].tolist())]
-            yield pd.DataFrame({"article_id": f["id"], "embedding": [v.tolist() for v in vectors]})
-
-    return queued.select("id", embed_text().alias("text")).mapInPandas(run, "article_id bigint, embedding array<float>")
+            made: list[list[float] | None] = []
+            errors: list[str | None] = []
+            for a in range(0, len(f), batch):
+                texts = f["text"].iloc[a : a + batch].tolist()
+                try:
+                    made += [v.tolist() for v in encode(texts)]
+                    errors += [None] * len(texts)
+                except left_queued as e:
+                    made += [None] * len(texts)
+                    errors += [f"{type(e).__name__}: {e}"] * len(texts)
+            yield pd.DataFrame({"article_id": f["id"], "embedding": made, "error": pd.Series(errors, index=f.index, dtype=object)})
+
+    return queued.select("id", embed_text().alias("text")).mapInPandas(run, "article_id bigint, embedding array<float>, error string", profile=profile)
 
 
 def valid_vectors(rows: DataFrame, model: str, dims: int, tolerance: float = 0.05) -> tuple[DataFrame, DataFrame]:

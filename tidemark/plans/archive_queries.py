@@ -11,6 +11,7 @@ from tidemark.functions import times
 from tidemark.operators import audit, browse, ledger, merge
 from tidemark.plans import standins as S
 from tidemark.plans.registry import query
+from tidemark.sources.shared import materialise
 
 UTC = datetime.UTC
 AT = datetime.datetime(1998, 6, 1, tzinfo=UTC)
@@ -82,7 +83,21 @@ def game_calendar(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT avg(length(text)) AS mean, quantile_cont(length(text), 0.5) AS p50, quantile_cont(length(text), 0.9) AS p90, round(quantile_cont(length(text), 0.99), 6) AS p99,
     CAST(max(length(text)) AS INT) AS longest FROM documents""")
 def length_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.length_profile(S.documents(spark, sf)).withColumn("p99", F.round("p99", 6))
+    return audit.length_profile(S.documents(spark, sf), exact=True).withColumn("p99", F.round("p99", 6))
+
+
+@query("""SELECT source, p.q AS quantile, true AS within, count(*) AS texts, CAST(max(length(text)) AS INT) AS longest FROM documents, (SELECT unnest([50, 90, 99]) AS q) p GROUP BY 1, 2""")
+def length_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of each source and day of ids, merged by source. `within`: the sketched quantile's true rank is off by at most 1 % of the rows (or one row)."""
+    docs = S.documents(spark, sf).withColumn("day", F.floor(F.col("id") / 100))
+    profile = audit.profile_of_sketches(materialise(audit.length_sketches(docs, ["country", "day"]), "length-sketches"), ["country"])
+    marks = profile.select(F.col("country").alias("c"), F.posexplode(F.array("p50", "p90", "p99")).alias("at", "value"), "longest")
+    ranked = docs.select("country", F.length("body").alias("n")).join(marks, F.col("country").eqNullSafe(F.col("c")))
+    counts = ranked.groupBy("country", "at", "longest").agg(F.count("n").alias("texts"), F.count_if(F.col("n") < F.col("value")).alias("below"), F.count_if(F.col("n") <= F.col("value")).alias("upto"))
+    aim = F.element_at(F.array(*map(F.lit, audit.QUANTILES)), F.col("at") + 1) * F.col("texts")
+    slack = F.greatest(0.01 * F.col("texts"), F.lit(1.0))
+    within = (F.col("below") <= aim + slack) & (F.col("upto") >= aim - slack)
+    return counts.select(F.col("country").alias("source"), F.element_at(F.array(F.lit(50), F.lit(90), F.lit(99)), F.col("at") + 1).alias("quantile"), within.alias("within"), "texts", "longest")
 
 
 @query("""SELECT CAST(year(o_orderdate) AS INT) AS year, round(count(*) / count(DISTINCT CAST(o_orderdate AS DATE)), 6) AS per_day, count(*) AS articles FROM orders GROUP BY 1""")

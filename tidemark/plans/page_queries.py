@@ -9,6 +9,7 @@ from tidemark.functions import blobs
 from tidemark.operators import audit, documents, extract
 from tidemark.plans import standins as S
 from tidemark.plans.registry import query
+from tidemark.sources import archive
 from tidemark.sources.archive import sink_blob_store
 from tidemark.sources.shared import fresh_path
 from tidemark.streaming import jobs
@@ -41,10 +42,10 @@ def tag_census(spark: SparkSession, sf: str) -> DataFrame:
     return audit.tag_census(S.table(spark, sf, "pages"))
 
 
-@query(r"""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<a\b[^>]*?\bhref="([^"]+)"', 1))) AS INT) AS cited FROM pages""")
+@query(r"""SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<a\b[^>]*?\bhref="([^"]+)"', 1))), chr(10)), '') AS cited FROM pages""")
 def cited_urls(spark: SparkSession, sf: str) -> DataFrame:
     pages = S.table(spark, sf, "pages").withColumn("html", F.regexp_replace("html", "<a href=", "<img src="))
-    return audit.cited_image_urls(pages).select("page_id", F.size("cited").alias("cited"))
+    return audit.cited_image_urls(pages).select("page_id", F.array_join("cited", "\n").alias("cited"))
 
 
 @query(_BODY_SQL + r"""SELECT page_id, md5(body) AS body, trim(replace(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&amp;', '&')) AS title,
@@ -71,12 +72,13 @@ def extract_comments(spark: SparkSession, sf: str) -> DataFrame:
     return extract.extract_comments(pages).select("article_id", "id", "position", "depth", "author_id", "body")
 
 
-@query("""SELECT page_id, 200 + CAST(page_id % 3 AS INT) * 102 AS http, CASE WHEN page_id % 3 = 2 THEN 'missing' WHEN page_id % 3 = 0 AND contains(html, '<article>') THEN 'ok' ELSE 'error' END AS status
-    FROM (SELECT * FROM pages)""")
+@query("""SELECT page_id, 200 + CAST(page_id % 3 AS INT) * 102 AS http, CASE WHEN page_id % 3 = 2 THEN 'missing' WHEN page_id % 3 = 0 AND contains(html, '<article>') THEN 'ok' ELSE 'error' END AS status,
+    CASE WHEN page_id % 3 = 2 OR page_id % 3 = 0 AND contains(html, '<article>') THEN NULL WHEN contains(html, 'Just a moment') OR contains(html, 'cf_chl') THEN 'challenge page: this exit is being blocked'
+    ELSE 'http ' || (200 + page_id % 3 * 102) || ', no <article> in ' || coalesce(length(html), 0) || ' bytes' END AS error FROM pages""")
 def classify_fetch(spark: SparkSession, sf: str) -> DataFrame:
     http = (200 + F.col("page_id") % 3 * 102).cast("int")
     judged = blobs.classify_fetch(http, F.col("html"), F.lit(None).cast("string"), "<article>")
-    return S.table(spark, sf, "pages").select("page_id", http.alias("http"), judged["status"].alias("status"))
+    return S.table(spark, sf, "pages").select("page_id", http.alias("http"), judged["status"].alias("status"), judged["error"].alias("error"))
 
 
 #: Heads that documents get in turn, so that their bytes are pictures of every known type.
@@ -106,11 +108,34 @@ def blob_types(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'dead' WHEN doc_id % 10 = 1 THEN 'error' WHEN doc_id % 11 = 4 THEN 'dead' WHEN doc_id % 11 = 3 THEN 'error' WHEN doc_id % 13 = 0 THEN 'dead'
-    WHEN doc_id % 13 = 1 THEN 'error' WHEN doc_id % 4 <> 0 AND {_KIND_SQL} IS NULL THEN 'dead' ELSE 'ok' END AS status FROM documents""")
+_HEAD_SQL = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN unhex('{h}')" for i, h in enumerate(_HEADS)) + " END"
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_HEAD_SQL} || encode(text) AS data, CASE WHEN doc_id % 4 = 0 THEN 'image/svg+xml' ELSE {_KIND_SQL} END AS kind,
+    CASE WHEN doc_id % 10 = 0 THEN 'dead' WHEN doc_id % 10 = 1 THEN 'error' WHEN doc_id % 11 = 4 THEN 'dead' WHEN doc_id % 11 = 3 THEN 'error' WHEN doc_id % 13 = 0 THEN 'dead'
+    WHEN doc_id % 13 = 1 THEN 'error' WHEN doc_id % 4 <> 0 AND {_KIND_SQL} IS NULL THEN 'dead' ELSE 'ok' END AS status FROM documents)
+    SELECT doc_id, status, CASE WHEN status = 'ok' THEN sha256(data) END AS sha256, CASE WHEN status = 'ok' THEN kind END AS mime,
+    CAST(CASE WHEN status = 'ok' THEN octet_length(data) ELSE 0 END AS BIGINT) AS bytes FROM c""")
 def classify_capture(spark: SparkSession, sf: str) -> DataFrame:
     c = blobs.classify_capture(F.col("verdict"), F.col("fault"), F.col("http"), F.col("data"), F.col("declared"))
-    return _captures(spark, sf).select("doc_id", c["status"].alias("status"))
+    return _captures(spark, sf).select("doc_id", F.inline(F.array(c)))
+
+
+@query("""SELECT page_id, url, CAST(NULL AS INT) AS http_status, md5(html) AS html FROM pages""")
+def src_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as they are landed, drained through the streaming source; a column that was not landed is null."""
+    landed = archive.src_pages(spark, f"{sf}/pages.parque[t]", streaming=True)
+    return jobs.drain(spark, landed, "src-pages").withColumn("html", F.md5("html"))
+
+
+@query("""SELECT CAST(doc_id % 16 AS INT) AS part, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1""")
+def src_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Sixteen files written from the documents, read as blobs."""
+    path = fresh_path(spark, "blobs")
+    docs = S.table(spark, sf, "documents").select((F.col("doc_id") % 16).cast("int").alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(path)
+    blobs_read = archive.blob_rows(archive.src_blobs(spark, f"{path}/part=*"))
+    return blobs_read.select(F.regexp_extract("path", "part=([0-9]+)/", 1).cast("int").alias("part"), "sha256")
 
 
 @query(f"""WITH {S.IMAGES_SQL}, {S.BLOBS_SQL} SELECT article_id, position, CASE WHEN withheld_at IS NOT NULL THEN 'withheld' WHEN status = 'ok' AND sha256 IS NOT NULL THEN 'ok'

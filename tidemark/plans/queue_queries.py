@@ -13,6 +13,8 @@ from tidemark.plans import standins as S
 from tidemark.plans.registry import query
 from tidemark.sources import archive
 from tidemark.sources.archive import utc
+from tidemark.sources.changes import ChangeTable
+from tidemark.sources.shared import fresh_path
 from tidemark.streaming import jobs, state
 
 AS_OF = datetime.datetime(2024, 1, 1, 12, tzinfo=datetime.UTC)
@@ -218,6 +220,11 @@ def outcome_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.outcome_distribution(S.events(spark, sf).select(F.col("outcome").alias("status")))
 
 
+@query(f"""WITH {S.EVENTS_SQL} SELECT outcome AS status, count(*) AS n FROM (SELECT * FROM ev ORDER BY md5('7:' || seq), seq LIMIT 500) GROUP BY 1""")
+def outcome_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.outcome_distribution(S.events(spark, sf).select("seq", F.col("outcome").alias("status")), 500, "seq")
+
+
 # A feed made of the pages: twenty to a feed page, each page of the feed repeating the last item of the one before.
 
 _ITEM = "<item><title>{0}</title><link>https://x.example/en/article/some-title-{0}/1/20</link></item>"
@@ -245,6 +252,37 @@ def feed_union_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return archive.feed_union_distinct(archive.src_feed(_feeds(spark, sf)))
 
 
+#: Every seventh feed is cut off, every eleventh is empty; links carry an escaped query, each third one as a character data section.
+_ODD_ITEM = "<item><title>{0} &amp; more</title><atom:link>https://x.example/en/article/other-1</atom:link><link>%2$shttps://x.example/en/article/t-{0}/1/20?a=1%3$sb=2%4$s</link></item>"
+
+
+def _odd_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    p, f = F.col("page_id"), F.floor(F.col("page_id") / 5).cast("bigint")
+    section = p % 3 == 0
+    item = F.format_string(
+        _ODD_ITEM.format("%1$d"), p, F.when(section, "<![CDATA[").otherwise(""), F.when(section, "&").otherwise("&amp;"), F.when(section, "]]>").otherwise("")
+    )
+    rows = S.table(spark, sf, "pages").groupBy(f.alias("feed")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("i")))), lambda x: x["i"]), "\n").alias("items"))
+    xml = F.concat(F.lit('\n<?xml version="1.0"?><rss xmlns:atom="http://www.w3.org/2005/Atom"><channel><atom:link href="z"/><link>https://x.example/en/article/c-1</link>'), "items", F.lit("</channel></rss>"))
+    whole = rows.select("feed", xml.alias("xml"))
+    return whole.select("feed", F.when(F.col("feed") % 11 == 0, "").when(F.col("feed") % 7 == 0, F.expr("left(xml, length(xml) - 19)")).otherwise(F.col("xml")).alias("xml"))
+
+
+_ODD_SQL = """SELECT page_id // 5 AS feed, CAST(row_number() OVER (PARTITION BY page_id // 5 ORDER BY page_id) - 1 AS INT) AS pos, page_id AS article_id,
+    row_number() OVER (PARTITION BY page_id // 5 ORDER BY page_id DESC) = 1 AS last FROM pages"""
+
+
+@query(f"""SELECT feed, pos, article_id FROM ({_ODD_SQL}) WHERE feed % 11 <> 0 AND (feed % 7 <> 0 OR NOT last)""")
+def feed_odd_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities, sections and namespaces; of feeds that are cut off, the whole items."""
+    return archive.src_feed(_odd_feeds(spark, sf))
+
+
+@query("""SELECT feed, CASE WHEN feed % 11 = 0 THEN 'empty' ELSE 'malformed' END AS reason FROM (SELECT DISTINCT page_id // 5 AS feed FROM pages) WHERE feed % 11 = 0 OR feed % 7 = 0""")
+def feed_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return archive.feed_rejects(_odd_feeds(spark, sf)).select("feed", "reason")
+
+
 # Streams over the events table; each drains all that is there, and the last state of a key is compared.
 
 
@@ -260,8 +298,18 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {S.EVENTS_SQL} SELECT article_id, status, CAST(attempts AS INT) AS attempts FROM led""")
 def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    out = jobs.drain(spark, jobs.stream_machine(_event_stream(spark, sf), ["article_id"], state.ledger(), "30 days"), "stream-ledger")
-    return jobs.latest(out, ["article_id"]).select("article_id", "status", "attempts")
+    path = fresh_path(spark, "stream-ledger")
+    table = ChangeTable(spark, f"{path}/ledger", ["article_id"])
+    jobs.stream_ledger(_event_stream(spark, sf).withColumn("error", F.lit(None).cast("string")), table, f"{path}/checkpoint").awaitTermination()
+    return table.read().select("article_id", "status", F.col("attempts").cast("int").alias("attempts"))
+
+
+@query("SELECT user_id AS article_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS ts FROM events GROUP BY 1")
+def stream_feed_unseen(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "feed-unseen")
+    seen = ChangeTable(spark, f"{path}/seen", ["article_id"])
+    jobs.stream_feed_unseen(_event_stream(spark, sf).select("article_id", "ts"), seen, f"{path}/checkpoint").awaitTermination()
+    return seen.read().select("article_id", S.stamp("ts"))
 
 
 @query("SELECT DISTINCT user_id AS article_id FROM events")
@@ -291,92 +339,6 @@ def host_circuit(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.drain(spark, jobs.stream_machine(ev, ["host"], state.host_circuit(2, 86_400), "3 days"), "circuit").select("host", "seq", "failures", "open")
 
 
-@query(f"""WITH {S.EVENTS_SQL}, i AS (SELECT *, sum(CASE WHEN outcome = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY article_id ORDER BY ts, seq) AS isle FROM ev)
-    SELECT article_id AS key, seq, CAST(sum(CASE WHEN outcome = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY article_id, isle ORDER BY ts, seq) AS BIGINT) AS run FROM i""")
-def failure_runs(spark: SparkSession, sf: str) -> DataFrame:
-    ev = S.events(spark, sf).select(F.col("article_id").alias("key"), "ts", "seq", (F.col("outcome") == "error").alias("failed"))
-    return ledger.failure_runs(ev).select("key", "seq", "run")
-
-
-@query(f"""WITH {S.EVENTS_SQL} SELECT article_id, changed, CASE WHEN changed THEN 'stale' ELSE status END AS status, CASE WHEN changed THEN 0 ELSE attempts END AS attempts
-    FROM (SELECT *, article_id % 2 = 0 AND status IN ('ok', 'error') AS changed FROM led)""")
-def mark_stale(spark: SparkSession, sf: str) -> DataFrame:
-    led = ledger.fetch_ledger(S.events(spark, sf))
-    return ledger.mark_stale(led, led.where("article_id % 2 = 0").select("article_id")).select("article_id", "changed", "status", "attempts")
-
-
-@query(f"""WITH {S.EVENTS_SQL} SELECT count(*) FILTER (WHERE status = 'stale') AS waiting FROM led""")
-def stale_progress(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.stale_progress(ledger.fetch_ledger(S.events(spark, sf)))
-
-
-@query("""SELECT count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents WHERE doc_id % 13 = 0""")
-def bodies_without_markup(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.bodies_without_markup(S.documents(spark, sf).withColumn("body_raw", F.when(F.col("id") % 13 != 0, F.col("body"))))
-
-
-@query(f"""WITH {S.EVENTS_SQL} SELECT outcome AS status, count(*) AS n FROM ev GROUP BY 1""")
-def outcome_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.outcome_distribution(S.events(spark, sf).select(F.col("outcome").alias("status")))
-
-
-# A feed made of the pages: twenty to a feed page, each page of the feed repeating the last item of the one before.
-
-_ITEM = "<item><title>{0}</title><link>https://x.example/en/article/some-title-{0}/1/20</link></item>"
-
-
-def _feeds(spark: SparkSession, sf: str) -> DataFrame:
-    p = S.table(spark, sf, "pages").select("page_id", F.floor(F.col("page_id") / 20).cast("bigint").alias("page"))
-    again = p.where("page_id % 20 = 19").withColumn("page", F.col("page") + 1)
-    item = F.format_string(_ITEM.format("%1$d"), F.col("page_id"))
-    rows = p.unionByName(again).groupBy("page").agg(F.sort_array(F.collect_list(F.struct((-F.col("page_id")).alias("o"), item.alias("i")))).alias("l"))
-    return rows.select("page", F.concat(F.lit("<rss><channel><link>https://x.example/en/article/channel-1</link>"), F.array_join(F.transform("l", lambda x: x["i"]), ""), F.lit("</channel></rss>")).alias("xml"))
-
-
-_FEED_SQL = """p AS (SELECT page_id, page_id // 20 AS page FROM pages), f AS (SELECT * FROM p UNION ALL SELECT page_id, page + 1 FROM p WHERE page_id % 20 = 19),
-items AS (SELECT page_id AS article_id, page, CAST(row_number() OVER (PARTITION BY page ORDER BY page_id DESC) - 1 AS INT) AS pos FROM f)"""
-
-
-@query(f"WITH {_FEED_SQL} SELECT page, pos, article_id FROM items")
-def feed_items(spark: SparkSession, sf: str) -> DataFrame:
-    return archive.src_feed(_feeds(spark, sf))
-
-
-@query(f"WITH {_FEED_SQL} SELECT article_id, min(page) AS page, arg_min(pos, (page, pos)) AS pos FROM items GROUP BY 1")
-def feed_union_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    return archive.feed_union_distinct(archive.src_feed(_feeds(spark, sf)))
-
-
-# Streams over the events table; each drains all that is there, and the last state of a key is compared.
-
-
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{sf}/events.parquet"
-    # As a pattern: the stream reader takes a plain path for a directory, and small tables are single files.
-    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/events.parque[t]")
-    return utc(raw).select(
-        F.col("user_id").alias("article_id"), F.col("event_id").alias("seq"), "ts",
-        F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "stale").when(F.col("event_type") == "signup", "missing").otherwise("ok").alias("outcome"),
-    )
-
-
-@query(f"""WITH {S.EVENTS_SQL} SELECT article_id, status, CAST(attempts AS INT) AS attempts FROM led""")
-def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    out = jobs.drain(spark, jobs.stream_machine(_event_stream(spark, sf), ["article_id"], state.ledger(), "30 days"), "stream-ledger")
-    return jobs.latest(out, ["article_id"]).select("article_id", "status", "attempts")
-
-
-@query("SELECT DISTINCT user_id AS article_id FROM events")
-def stream_feed_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.drain(spark, jobs.stream_feed_dedupe(_event_stream(spark, sf), "60 days"), "stream-feed").select("article_id")
-
-
-@query()
-def host_circuit(spark: SparkSession, sf: str) -> DataFrame:
-    ev = _event_stream(spark, sf).select(F.concat(F.lit("h"), F.col("article_id").cast("string")).alias("host"), "ts", "seq", (F.col("outcome") == "error").alias("failed"))
-    return jobs.drain(spark, jobs.stream_machine(ev, ["host"], state.host_circuit(2, 86_400), "30 days"), "circuit").select("host", "seq", "failures", "open")
-
-
 @query(f"""WITH {S.EVENTS_SQL}, i AS (SELECT *, sum(CASE WHEN outcome = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY article_id ORDER BY ts, seq) AS isle FROM ev)
     SELECT article_id AS key, seq, CAST(sum(CASE WHEN outcome = 'error' THEN 1 ELSE 0 END) OVER w AS INT) AS run, sum(CASE WHEN outcome = 'error' THEN 1 ELSE 0 END) OVER w >= 3 AS alarm
     FROM i WINDOW w AS (PARTITION BY article_id, isle ORDER BY ts, seq)""")

@@ -12,7 +12,9 @@ from tidemark.operators import merge, vectors
 from tidemark.operators.browse import visible_only
 from tidemark.plans import standins as S
 from tidemark.plans.registry import query
+from tidemark.sources.changes import ChangeTable
 from tidemark.sources.shared import fresh_path, materialise
+from tidemark.streaming import jobs
 
 DIMS = 64
 AS_OF = datetime.datetime(2024, 2, 1, tzinfo=datetime.UTC)
@@ -40,13 +42,43 @@ def embed_text(spark: SparkSession, sf: str) -> DataFrame:
     return S.documents(spark, sf).select("id", F.md5(vectors.embed_text()).alias("embedded"))
 
 
-@query(f"""WITH {S.VECTORS_SQL}, {S.DOCS_SQL} SELECT v.article_id, CASE WHEN v.embedding IS NULL AND d.id IS NOT NULL THEN 'hash/64' ELSE v.model END AS model,
-    v.embedding IS NOT NULL OR d.id IS NOT NULL AS filled FROM vecs v LEFT JOIN docs d ON d.id = v.article_id AND d.hidden_at IS NULL""")
+#: The encoder sign by sign: a component and a sign for each trigram of code points, summed and brought to unit length.
+_ENCODED_SQL = f"""{S.VECTORS_SQL}, {S.DOCS_SQL}, todo AS MATERIALIZED (SELECT v.article_id, list_transform(string_split(rpad(t, CAST(greatest(length(t), 3) AS INT), ' '), ''), lambda c: CAST(unicode(c) AS BIGINT)) AS c
+    FROM vecs v JOIN (SELECT id, substr(title || chr(10) || chr(10) || body, 1, 20000) AS t FROM docs WHERE hidden_at IS NULL) d ON d.id = v.article_id WHERE v.embedding IS NULL),
+grams AS (SELECT article_id, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 1000003 + c[i + 1] * 998244353 + c[i + 2] * 1000000007) % 2147483647)) AS h FROM todo),
+counts AS (SELECT article_id, h % {DIMS} AS dim, sum(1 - 2 * (h // {DIMS} % 2)) AS n FROM grams GROUP BY 1, 2),
+encoded AS (SELECT t.article_id, r.dim, CAST(CASE WHEN l.len = 0 THEN CASE WHEN r.dim = 0 THEN 1 ELSE 0 END ELSE coalesce(c.n, 0) / sqrt(CAST(l.len AS DOUBLE)) END AS FLOAT) AS value
+    FROM todo t CROSS JOIN (SELECT unnest(range({DIMS})) AS dim) r LEFT JOIN counts c ON c.article_id = t.article_id AND c.dim = r.dim JOIN (SELECT article_id, sum(n * n) AS len FROM counts GROUP BY 1) l ON l.article_id = t.article_id)"""
+
+
+def _components(vecs: DataFrame) -> DataFrame:
+    return vecs.select("article_id", "model", F.posexplode("embedding").alias("dim", "value")).select("article_id", "model", "dim", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query(f"""WITH {_ENCODED_SQL} SELECT article_id, 'trigrams/64' AS model, CAST(dim AS INT) AS dim, round(CAST(value AS DOUBLE), 6) AS value FROM encoded""")
 def embed_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The queued vectors of visible articles, component by component."""
     queue = S.vectors(spark, sf)
-    made = vectors.embed_job(vectors.join_queue_articles(queue, S.documents(spark, sf)), lambda: vectors.hash_encoder(DIMS))
-    good, _ = vectors.valid_vectors(made.withColumn("model", F.lit("hash/64")), "hash/64", DIMS)
-    return merge.save_vectors(queue, good, "hash/64", AS_OF).select("article_id", "model", F.col("embedding").isNotNull().alias("filled"))
+    made = vectors.embed_job(vectors.join_queue_articles(queue, S.documents(spark, sf)), lambda: vectors.ngram_encoder(DIMS))
+    good, _ = vectors.valid_vectors(made.withColumn("model", F.lit("trigrams/64")), "trigrams/64", DIMS)
+    return _components(merge.save_vectors(queue, good, "trigrams/64", AS_OF).where("model = 'trigrams/64'"))
+
+
+@query(f"""WITH {_ENCODED_SQL}, e AS (SELECT article_id, CAST(dim AS INT) AS dim, round(CAST(value AS DOUBLE), 6) AS value FROM encoded)
+    SELECT article_id, 'trigrams/64' AS model, dim, value FROM e
+    UNION ALL SELECT article_id, model, NULL, NULL FROM vecs WHERE article_id NOT IN (SELECT article_id FROM e)""")
+def stream_embed(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole queue drained by one request, in a table merged on read; rows that were not embedded come without components."""
+    path = fresh_path(spark, "stream-embed")
+    table = ChangeTable(spark, f"{path}/vectors", ["article_id"])
+    table.save(S.vectors(spark, sf))
+    # One request: the regions make one row of it, so the stream has one micro-batch.
+    asked = spark.readStream.schema(spark.read.parquet(f"{sf}/region.parquet").schema).parquet(f"{sf}/region.parque[t]")
+    waiting = table.read().where("embedding IS NULL").count()
+    jobs.stream_embed(asked, lambda: S.documents(spark, sf), table, lambda: vectors.ngram_encoder(DIMS), "trigrams/64", DIMS, f"{path}/checkpoint", AS_OF, waiting).awaitTermination()
+    after = table.read()
+    rest = after.where("NOT model <=> 'trigrams/64'").select("article_id", "model", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("double").alias("value"))
+    return _components(after.where("model = 'trigrams/64'")).unionByName(rest)
 
 
 @query(f"""WITH {S.VECTORS_SQL} SELECT article_id, CASE WHEN model = 'model/a' THEN model END AS model, embedding IS NOT NULL AND model = 'model/a' AS filled FROM vecs""")

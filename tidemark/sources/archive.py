@@ -28,15 +28,45 @@ def src_pages(spark: SparkSession, path: str, streaming: bool = False, schema: T
     return reader.schema(schema).parquet(path)
 
 
+#: What is read of a feed. Prefixed elements (`atom:link`) are other names and stay out; items stand in the channel or beside it.
+FEED = "channel struct<item: array<struct<link: array<string>>>>, item array<struct<link: array<string>>>, malformed string"
+
+
+def _parsed(xml: F.Column) -> F.Column:
+    return F.from_xml(F.regexp_replace(xml, r"^[\s\uFEFF]+", ""), FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"})
+
+
 def src_feed(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """(…, pos, article_id) from <item><link> in feed order; the channel's own link is not an item."""
-    items = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))
-    links = F.transform(items, lambda i: F.trim(F.regexp_extract(i, r"(?s)<link>(.*?)</link>", 1)))
+    """(…, pos, article_id) from <item><link> in feed order; the channel's own link is not an item.
+
+    Feeds are read as XML: entities, character data sections, comments and namespaces are what they mean. A feed that is not well formed still gives the items
+    that stand in it whole, found as text, and is listed by `feed_rejects`. Null and empty feeds give nothing.
+    """
+    found, keep = _free("feed", feeds.columns), [c for c in feeds.columns if c != xml]
+    feed = F.col(found)
+    none = F.array().cast("array<struct<link: array<string>>>")
+    sound = F.concat(*(F.coalesce(items, none) for items in (feed["channel"]["item"], feed["item"])))
+    torn = F.transform(F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1)), lambda i: F.regexp_extract(i, r"(?s)<link>(.*?)</link>", 1))
     # The id is the number that ends the path segment after "article"; a page number may follow it.
-    segment = lambda u: F.element_at(F.split(F.split_part(u, F.lit("/article/"), F.lit(2)), "/"), 1)
-    ids = F.transform(links, lambda u: F.regexp_extract(segment(u), "(?:^|-)([0-9]+)$", 1))
-    keep = [c for c in feeds.columns if c != xml]
-    return feeds.select(*keep, F.posexplode(F.filter(ids, lambda i: i != ""))).select(*keep, "pos", F.col("col").cast("bigint").alias("article_id"))
+    segment = lambda u: F.element_at(F.split(F.split_part(F.trim(u), F.lit("/article/"), F.lit(2)), "[/?#]"), 1)
+    id_of = lambda u: F.regexp_extract(segment(u), "(?:^|-)([0-9]+)$", 1)
+    first = lambda i: F.get(F.filter(F.transform(F.coalesce(i["link"], F.array().cast("array<string>")), lambda u: id_of(F.coalesce(u, F.lit("")))), lambda a: a != ""), 0)
+    ids = F.when(feed["malformed"].isNull(), F.transform(sound, first)).otherwise(F.transform(torn, id_of))
+    rows = feeds.withColumn(found, _parsed(F.col(xml))).where(feed.isNotNull())
+    return rows.select(*keep, F.posexplode(F.filter(ids, lambda i: i != ""))).select(*keep, "pos", F.col("col").try_cast("bigint").alias("article_id"))
+
+
+def feed_rejects(feeds: DataFrame, xml: str = "xml") -> DataFrame:
+    """The feeds that are missing, empty or not well formed, with `reason`."""
+    text, reason = F.trim(F.col(xml)), _free("reason", feeds.columns)
+    why = F.when(F.col(xml).isNull(), "missing").when(text == "", "empty").when(_parsed(F.col(xml))["malformed"].isNotNull(), "malformed")
+    return feeds.withColumn(reason, why).where(F.col(reason).isNotNull())
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
 
 
 def feed_union_distinct(items: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.blobs import classify_fetch
 from tidemark.operators import merge
 from tidemark.operators.extract import Profile, extract_articles
+from tidemark.operators.ledger import apply_fold, fold_outcomes
+from tidemark.operators.triage import MAX_ATTEMPTS
 from tidemark.operators.vectors import claim_embeddings, embed_job, valid_vectors
 from tidemark.sources.archive import stream_id
 from tidemark.sources.changes import ChangeTable
@@ -43,10 +45,55 @@ def latest(states: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stream_feed_dedupe(items: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Feed items (article_id, ts) whose id has not been seen within the delay."""
+    """Feed items (article_id, ts) whose id has not been seen within the delay; bounded state, no table. For good: `stream_feed_unseen`."""
     return items.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["article_id"])
 
 
+def stream_feed_unseen(
+    items: DataFrame, seen: ChangeTable, checkpoint: str, ledger: Callable[[], DataFrame] | None = None, max_attempts: int = MAX_ATTEMPTS
+) -> StreamingQuery:
+    """Feed items (article_id, ts) that were never seen before, however long ago: kept in `seen` (key article_id) as article_id, ts, batch_id.
+
+    A batch reads the buckets of its own ids only and adds what is new, so its cost follows the batch; consumers read the rows of a batch_id. With a
+    `ledger`, an id whose last attempt failed, with attempts under the ceiling, is given out again.
+    """
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        version = seen.version()
+        ids = df.where("article_id IS NOT NULL").groupBy("article_id").agg(F.min("ts").alias("ts"))
+        known = seen.read(version, only=ids.select("article_id"))
+        if known is not None:
+            if ledger is not None:
+                again = ledger().where((F.col("status") == "error") & (F.col("attempts") < max_attempts))
+                known = known.join(again.select("article_id"), "article_id", "left_anti")
+            ids = ids.join(known.select("article_id"), "article_id", "left_anti")
+        fresh = materialise(ids.withColumn("batch_id", F.lit(batch_id).cast("bigint")), "unseen")
+        seen.save(fresh, read_version=version, batch_id=batch_id, writer=f"feed {stream_id(seen.spark, checkpoint)}")
+        if seen.changes_since_base() >= COMPACT_AFTER:
+            seen.compact()
+
+    return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_ledger(events: DataFrame, table: ChangeTable, checkpoint: str) -> StreamingQuery:
+    """Events (article_id, ts, seq, outcome, error) folded into the ledger `table` (key article_id).
+
+    A micro-batch becomes one step an article by built-in aggregation, pre-aggregated before the shuffle, so a busy article is no burden to one task; the step is then
+    applied to the rows it concerns. Within a micro-batch events count in (ts, seq) order, micro-batches as they come.
+    """
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        version = table.version()
+        step = materialise(fold_outcomes(df.where("article_id IS NOT NULL")), "ledger-step")
+        old = table.read(version, only=step.select("article_id"))
+        rows = step.drop("reset") if old is None else apply_fold(old, step)
+        table.save(rows, read_version=version, batch_id=batch_id, writer=f"ledger {stream_id(table.spark, checkpoint)}")
+        if table.changes_since_base() >= COMPACT_AFTER:
+            table.compact()
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 #: The tables that the ingest job keeps, and what names a row in each.
 INGEST_KEYS = {"articles": ["id"], "images": ["article_id", "source_url"], "comments": ["id"], "vectors": ["article_id"], "ledger": ["article_id"]}
 #: Commits after which a table is compacted.
