@@ -92,7 +92,7 @@ def op6_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     # Legacy input of both versions; the converter tells them apart by their version blocks.
-    odd = F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(2)) == 1
+    odd = F.pmod(F.coalesce(F.col("page_id").try_cast("bigint"), F.lit(0)), F.lit(2)) == 1
     arcs = [warc.write_arc(pages.where(odd), 1), warc.write_arc(pages.where(~odd), 2)]
     records = materialise(warc.read_warc(spark, warc.convert(spark, arcs)), "warc-records")
     # Only revisits look for the page of their response; all other rows have no key to join on.

@@ -17,7 +17,7 @@ header that is no 64-bit integer is a null key; a date that is not a real instan
 `read_arc` tells in its column `problem` and the WARC record in `X-Problem`; so is a block that ends before its declared length. A WARC record without
 a length has none to go by: reading goes on at the next record. A payload that does not match its digest is marked as well.
 
-Defined results: null payload or URL is empty; a null key sorts after all others; equal keys are ordered by
+Defined results: null payload or URL is empty; a key that is no 64-bit integer is null; a null key sorts after all others; equal keys are ordered by
 place in the archive; empty input writes and reads nothing; a header line that does not parse is skipped up to the next line; a page that is larger
 than a member is a member of its own, held whole by one task; other columns of the pages are ignored, whatever their names.
 """
@@ -94,7 +94,7 @@ def write_arc(pages: DataFrame, version: int, key: str = "page_id", url: str = "
             yield pa.RecordBatch.from_arrays([pa.array([m[:-1]], pa.binary())], names=["member"])  # the writer ends the line
 
     path = fresh_path(pages.sparkSession, f"arc{version}")
-    src = pages.select(F.col(key).cast("bigint").alias("k"), F.col(url).cast("string").alias("u"), F.col(payload).cast("binary").alias("p"))
+    src = pages.select(F.col(key).try_cast("bigint").alias("k"), F.col(url).cast("string").alias("u"), F.col(payload).cast("binary").alias("p"))
     _write(src.mapInArrow(run, "member binary"), path, "\n")
     return path
 
