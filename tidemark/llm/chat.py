@@ -11,7 +11,7 @@ gets one backslash after its first character, and one that has backslashes there
 restores the text. Roles additionally write % and line feed as %25 and %0A.
 
 Defined results: null role or text is empty; a message whose parent is missing is a root; messages on a
-cycle hang on no root and belong to no path; repeated (tree, id) rows are one message; ties between branches go to
+cycle hang on no root and belong to no path; of repeated (tree, id) rows the greatest (by parent, role, text, score) is the message; ties between branches go to
 the deeper, then to the smaller leaf id; an empty table gives an empty result; a null tree is a tree.
 """
 
@@ -78,7 +78,8 @@ def chosen_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
 
     `messages`: tree, id, parent, role, text, score.
     """
-    once = messages.dropDuplicates(["tree", "id"])
+    # Of repeated rows the greatest: the same one each time this is evaluated.
+    once = messages.groupBy("tree", "id").agg(F.max(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "id", "m.*")
     nodes = materialise(once.select("tree", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
     tables = jump_tables(nodes)
     # Each tree is read from the table that completes it; what is open there hangs on a cycle.
