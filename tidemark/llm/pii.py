@@ -16,8 +16,8 @@ all rows share is one row of the graph per neighbour; the list of found identifi
 beyond it the join is split by AQE where one identifier is frequent. Texts are read once.
 
 Defined results: null text is empty; spans are code points, end exclusive, by kind as listed and then start;
-base spans always stay and added ones never overlap them; an identifier that two kinds claim equally goes to the first as listed; contexts
-reach `reach` characters to either side, texts of any length are read whole; repeated rows get equal spans; an empty table gives an empty
+base spans always stay and added ones never overlap them; an identifier that two kinds claim equally goes to the first as listed; contexts are the
+two nearest words on either side at any distance, a word of more than `LONG` characters by its near end and its length; texts of any length are read whole; repeated rows get equal spans; an empty table gives an empty
 result; other columns are ignored, whatever their names.
 """
 
@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,8 @@ from tidemark.sources.arrow import append_columns
 from tidemark.sources.shared import materialise
 
 KINDS = ("email", "ip", "card", "phone")
+#: Characters that are looked at first for the words next to a span, and of a long word that stand for it.
+NEAR, LONG = 80, 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -123,10 +127,46 @@ def _shapes(token: str) -> list[str]:
     return found
 
 
-def _context(text: str, start: int, end: int, reach: int = 80) -> list[str]:
-    """Lexical patterns around a span, from at most `reach` characters on either side."""
-    left = [w.lower() for w in _WORDS.findall(text[max(0, start - reach) : start])][-2:]
-    right = [w.lower() for w in _WORDS.findall(text[end : end + reach])][:2]
+class _Words:
+    """The words next to any place of a text. A look at `NEAR` characters mostly shows them; where it does not, all words of the text are
+    listed, once."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.spans = text, None
+
+    def _whole(self) -> np.ndarray:
+        if self.spans is None:
+            self.spans = np.fromiter((x for m in _WORDS.finditer(self.text) for x in m.span()), np.int64).reshape(-1, 2)
+        return self.spans
+
+    def before(self, start: int) -> list[str]:
+        """The two words before `start`, in order; a word that reaches across it counts up to there."""
+        low = max(0, start - NEAR)
+        found = [m.span() for m in _WORDS.finditer(self.text, low, start)][-2:]
+        if low and (len(found) < 2 or found[0][0] == low):
+            spans = self._whole()
+            k = int(np.searchsorted(spans[:, 0], start))
+            found = [(int(a), min(int(b), start)) for a, b in spans[max(0, k - 2) : k]]
+        return [_name(self.text[max(a, b - LONG) : b], b - a) for a, b in found]
+
+    def after(self, end: int) -> list[str]:
+        high = min(len(self.text), end + NEAR)
+        found = [m.span() for m in islice(_WORDS.finditer(self.text, end, high), 2)]
+        if high < len(self.text) and (len(found) < 2 or found[1][1] == high):
+            spans = self._whole()
+            k = int(np.searchsorted(spans[:, 1], end, "right"))
+            found = [(max(int(a), end), int(b)) for a, b in spans[k : k + 2]]
+        return [_name(self.text[a : min(b, a + LONG)], b - a) for a, b in found]
+
+
+def _name(word: str, length: int) -> str:
+    """A long word is known by the end that is near the span and by its length."""
+    return word.lower() if length <= LONG else f"{word.lower()}~{length}"
+
+
+def _context(words: _Words, start: int, end: int) -> list[str]:
+    """Lexical patterns around a span: of the two nearest words on either side, however far they are."""
+    left, right = words.before(start), words.after(end)
     out = []
     if left:
         out.append(f"{left[-1]} _")
@@ -162,8 +202,9 @@ def _norm(token: str, kind: str | None = None) -> str:
 
 def _occurrences(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
     taken = sorted((a, b) for _, a, b in base)
+    words = _Words(text)
     out = [
-        {"instance": _norm(text[a:b], k), "start": a, "end": b, "seed": k, "shapes": [k], "patterns": _context(text, a, b)} for k, a, b in base
+        {"instance": _norm(text[a:b], k), "start": a, "end": b, "seed": k, "shapes": [k], "patterns": _context(words, a, b)} for k, a, b in base
     ]
     loose = [m.span() for m in _LOOSE_DIGITS.finditer(text)] + _said_addresses(text)
     i, last = 0, 0
@@ -177,7 +218,7 @@ def _occurrences(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
             j += 1
         if clear:
             last = b
-            out.append({"instance": _norm(text[a:b]), "start": a, "end": b, "seed": None, "shapes": _shapes(text[a:b]), "patterns": _context(text, a, b)})
+            out.append({"instance": _norm(text[a:b]), "start": a, "end": b, "seed": None, "shapes": _shapes(text[a:b]), "patterns": _context(words, a, b)})
     return out
 
 
