@@ -150,6 +150,7 @@ def knn_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_KNN_SQL} SELECT round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS recall FROM (SELECT k.query_id, bool_or(a.label = b.label) AS hit FROM k JOIN e a ON a.id = k.query_id JOIN e b ON b.id = k.id GROUP BY 1)")
 def knn_recall(spark: SparkSession, sf: str) -> DataFrame:
     near, e = _knn(spark, sf)
+    near = materialise(near, "knn-near")  # read twice
     labels = e.select("id", "label")
     first = near.join(labels, "id").join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
     # One expected id a query: the best neighbour of its label, or the query itself, which is never found.
