@@ -5,10 +5,12 @@
    through `maximum.accumulate`, and a group breaks where a start reaches the running maximum. Within a group overlaps are expanded strip by
    strip: each distinct start opens a strip of bytes that one A and one B token share, and a pair that overlaps shares exactly one strip.
 2. Tasks gather documents into blocks of bounded size. A block keeps its distinct id pairs once, with the number of its documents that link
-   them; its documents point into that list. Blocks are written once to the shared folder, so no text is encoded twice.
+   them; its documents point into that list. A block is several rows, one for each lot of texts encoded together, with a share of the block's pairs:
+   rows of many MB would fill an executor's heap with copies of themselves. They are written once to the shared folder, so no text is encoded twice.
 3. The pairs of all blocks are summed to document counts, the highest count of each A id is a window over at most one row for each B id, and the
    counts are joined back to the pairs of the blocks. What is shuffled are pairs distinct within a block, not links; a pair that every document
    holds is one row a block, and AQE splits the join if that is many.
+4. Counts and rows of a block meet in one partition, sorted: first the counts in the order of the block's pairs, then the rows, one after another.
 
 Defined results: a text that is null, empty, or that one side does not give back byte for byte (B writes U+2581 as a space) has no tokens: zeros and
 an empty `groups_sha256`. Strings of special tokens are plain text. Repeated rows are documents of their own, also in the counts. Ids are
@@ -25,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -197,51 +200,59 @@ def _tokenizers(ranks_path: str, piece_path: str) -> Tokenizers:
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """(ids, texts) of about STEP_CHARS, one text at least."""
     for batch in batches:
-        size = np.cumsum(np.array([len(t) if t else 0 for t in batch.column(1).to_pylist()], np.int64)) // STEP_CHARS
+        chars = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        size = np.cumsum(chars, dtype=np.int64) // STEP_CHARS
         cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
-                part = batch.slice(a, b - a)
-                yield part.column(0), part.column(1).to_pylist()
+                # The ids are copied, as they stay until the block is closed and would keep the batch's texts.
+                yield batch.column(0).take(pa.array(range(a, b))), batch.column(1).slice(a, b - a).to_pylist()
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+_BLOCK = T.StructType(
+    [T.StructField("block", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("at", T.IntegerType()), T.StructField("pair", T.ArrayType(T.LongType())), T.StructField("held", T.ArrayType(T.IntegerType()))]
+)
+_BLOCK_ARROW = [to_arrow_type(f.dataType) for f in _BLOCK]
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, piece_path: str) -> DataFrame:
-    """Rows of many documents: what is known of each, the block's distinct pairs with their document counts, and each document's places among them."""
-    id_type = docs.schema[id_col].dataType
-    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
-    schema = T.StructType(
-        [T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(c, longs) for c in _COUNTS), T.StructField("digests", T.ArrayType(T.StringType()))]
-        + [T.StructField("n_pairs", ints), T.StructField("place", ints), T.StructField("times", ints), T.StructField("pair", longs), T.StructField("held", ints)]
-    )
-    arrow_types, arrow_id, names = [to_arrow_type(f.dataType) for f in schema], to_arrow_type(id_type), schema.fieldNames()
+    """A row a step: its documents as an Arrow stream (what is known of each, its places among the block's distinct pairs and their numbers of links),
+    and of those pairs the ones from place `at` on, with their document counts."""
+    arrow_id = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizers(ranks_path, piece_path)
         part, ids, found, number = TaskContext.get().partitionId(), [], [], 0
 
-        def close() -> pa.RecordBatch:
-            col = lambda k: np.concatenate([getattr(b, k) for b in found])
-            pair, place, held = np.unique(col("pairs"), return_inverse=True, return_counts=True)
-            values = [[(part << 32) + number], pa.chunked_array(ids, arrow_id).combine_chunks(), *map(col, _COUNTS), [x for b in found for x in b.digests], col("n_pairs"), place, col("times"), pair, held]
+        def close() -> Iterator[pa.RecordBatch]:
+            pair, place, held = np.unique(np.concatenate([b.pairs for b in found]), return_inverse=True, return_counts=True)
+            ends, share = np.cumsum([len(b.pairs) for b in found]), -(-len(pair) // len(found))
+            for i, (keys, b, end) in enumerate(zip(ids, found, ends.tolist(), strict=True)):
+                own = slice(min(i * share, len(pair)), (i + 1) * share)
+                values = [(part << 32) + number, _stored(keys.cast(arrow_id), b, place[end - len(b.pairs) : end]), own.start, pair[own], held[own]]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _BLOCK_ARROW, strict=True)], names=_BLOCK.fieldNames())
             ids.clear(), found.clear()
-            arrays = [pa.array(values[0], arrow_types[0])]
-            for v, t in zip(values[1:], arrow_types[1:], strict=True):
-                v = v if isinstance(v, pa.Array) else pa.array(v, t.value_type)
-                arrays.append(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v.cast(t.value_type), type=t))
-            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for keys, texts in _steps(batches):
             ids.append(keys), found.append(align_texts(tok, texts))
             if sum(len(b.pairs) for b in found) >= BLOCK_PAIRS:
-                yield close()
+                yield from close()
                 number += 1
         if found:
-            yield close()
+            yield from close()
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _BLOCK)
+
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+def _stored(ids: pa.Array, b: Batch, place: np.ndarray) -> bytes:
+    starts = pa.array(np.concatenate([[0], np.cumsum(b.n_pairs)]), pa.int32())
+    lists = (pa.ListArray.from_arrays(starts, pa.array(x.astype(np.int32))) for x in (place, b.times))
+    batch = pa.RecordBatch.from_arrays([ids, *(pa.array(getattr(b, c), pa.int64()) for c in _COUNTS), pa.array(b.digests, pa.string()), *lists], names=["id", *_COUNTS, "digest", "places", "times"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
 def pair_counts(blocks: DataFrame, n_b: int) -> DataFrame:
@@ -257,22 +268,34 @@ def align(docs: DataFrame, ranks_path: str, piece_path: str, id_col: str = "doc_
 
     n_b = sentencepiece.SentencePieceProcessor(model_file=piece_path).get_piece_size()
     blocks = materialise(_blocks(docs, id_col, text_col, ranks_path, piece_path), "token-blocks")
-    asked = blocks.select("block", F.posexplode(F.arrays_zip("pair")).alias("pos", "p")).select("block", "pos", F.col("p.pair").alias("pair"))
-    told = asked.join(pair_counts(blocks, n_b), "pair").groupBy("block").agg(F.collect_list(F.struct("pos", "n", "best")).alias("told"))
-    rows = blocks.drop("pair", "held").join(told, "block", "left")
+    asked = blocks.select("block", "at", F.posexplode("pair").alias("pos", "pair")).select("block", (F.col("at") + F.col("pos")).alias("pos"), "pair")
+    told = asked.join(pair_counts(blocks, n_b), "pair").select("block", "pos", "n", "best")
+    rows = told.unionByName(blocks.select("block", "docs"), allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.asc_nulls_last("pos"))
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", id_type), *(T.StructField(c, T.LongType()) for c in (*_COUNTS, "n_best", "count_sum")), T.StructField("groups_sha256", T.StringType())])
-    return rows.select("ids", *_COUNTS, "digests", "n_pairs", "place", "times", "told.pos", "told.n", "told.best").mapInArrow(_sums, schema).withColumnRenamed("id", id_col)
+    return rows.select("block", "pos", "n", "best", "docs").mapInArrow(_sums, schema).withColumnRenamed("id", id_col)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From each block's counts in the order of its pairs, and its documents after them."""
+    _loaded.clear()  # a worker that has encoded before needs neither tokenizers nor words any more
+    block, heard = None, []
     for batch in batches:
-        for i in range(batch.num_rows):
-            ids, *counts, digests, n_pairs, place, times, pos, n, best = (c[i].values for c in batch.columns)
-            # None were told of where the block has no pairs.
-            told, top = np.zeros(len(pos or ()), np.int64), np.zeros(len(pos or ()), np.int64)
-            if len(told):
-                told[pos.to_numpy()], top[pos.to_numpy()] = n.to_numpy(), best.to_numpy(zero_copy_only=False)
-            ends, at, times = np.cumsum(n_pairs.to_numpy()), place.to_numpy(), times.to_numpy().astype(np.int64)
-            sums = (np.diff(np.concatenate([[0], np.cumsum(times * x[at])])[np.concatenate([[0], ends])]) for x in (top, told))
-            yield pa.RecordBatch.from_arrays([ids, *counts, *(pa.array(s, pa.int64()) for s in sums), digests], names=["id", *_COUNTS, "n_best", "count_sum", "groups_sha256"])
+        number, pos, n, best, docs = batch.columns
+        number, n, best, is_docs = (x.to_numpy(zero_copy_only=False) for x in (number, pc.fill_null(n, 0), pc.fill_null(best, False), pos.is_null()))
+        fresh = np.ones(len(number), bool)
+        fresh[1:] = (number[1:] != number[:-1]) | (is_docs[1:] != is_docs[:-1])
+        firsts = np.flatnonzero(fresh).tolist()
+        for a, b in zip(firsts, [*firsts[1:], len(number)], strict=True):
+            if number[a] != block:
+                block, heard = number[a], [np.zeros((2, 0), np.int64)]  # None are told of where the block has no pairs.
+            if not is_docs[a]:
+                heard.append(np.stack([best[a:b].astype(np.int64), n[a:b]]))
+                continue
+            heard = [np.concatenate(heard, axis=1)]
+            for i in range(a, b):
+                for step in pa.ipc.open_stream(docs[i].as_buffer()):
+                    ids, *counts, digests, places, times = step.columns
+                    ends, at, times = places.offsets.to_numpy(), places.values.to_numpy(), times.values.to_numpy()
+                    sums = (np.diff(np.concatenate([[0], np.cumsum(times * x[at])])[ends]) for x in heard[0])
+                    yield pa.RecordBatch.from_arrays([ids, *counts, *(pa.array(s, pa.int64()) for s in sums), digests], names=["id", *_COUNTS, "n_best", "count_sum", "groups_sha256"])
